@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         if col.nbytes <= most_bytes:
             yield b
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         begin = total = 0
         for i, n in enumerate(sizes):
             if i > begin and total + n > most_bytes:
