@@ -130,6 +130,8 @@ def _reverse(tree):
 class _Nfa:
     empty: list[list[int]] = field(default_factory=list)
     step: list[tuple[frozenset, int] | None] = field(default_factory=list)
+    run: dict[int, tuple[int, int]] = field(default_factory=dict)  # state -> (open-ended repeat of one set, how far in it)
+    runs: int = 0
 
     def state(self) -> int:
         self.empty.append([])
@@ -159,12 +161,17 @@ class _Nfa:
                 self.empty[self.add(t, s)].append(end)
             return end
         _, part, least, most = tree
-        for _ in range(least):
+        own, self.runs = self.runs, self.runs + 1
+        for i in range(least):
             begin = self.add(part, begin)
+            if most is None and part[0] == "set":
+                self.run[begin] = own, i
         if most is None:
             loop = self.state()
             self.empty[begin].append(loop)
             s = self.state()
+            if part[0] == "set":
+                self.run[s] = own, least
             self.empty[loop] += [s, end]
             self.empty[self.add(part, s)].append(loop)
             return end
@@ -194,14 +201,17 @@ class Dfa:
         return int(self.classes.max()) + 1
 
 
-def compile_dfa(trees: list, search: bool) -> Dfa:
-    """Subset construction over all trees at once, then minimisation. search: a match may begin anywhere."""
+def compile_dfa(trees: list, search: bool, left: list[bool] | None = None) -> Dfa:
+    """Subset construction over all trees at once, then minimisation. search: a match may begin anywhere,
+    for the trees with `left` only where no letter, digit or _ is before."""
     nfa = _Nfa()
-    begin = nfa.state()
+    begin, inner = nfa.state(), nfa.state()
     finals = {}
     for k, tree in enumerate(trees):
         s = nfa.state()
         nfa.empty[begin].append(s)
+        if not (left and left[k]):
+            nfa.empty[inner].append(s)
         finals[nfa.add(tree, s)] = k
     closure = []
     for s in range(len(nfa.empty)):
@@ -213,7 +223,8 @@ def compile_dfa(trees: list, search: bool) -> Dfa:
                     todo.append(t)
         closure.append(frozenset(t for t in seen if nfa.step[t] is not None or t in finals))
     sets = sorted({frozenset(x[0]) for x in nfa.step if x}, key=sorted)
-    marks = np.zeros((256, len(sets) + 1), bool)
+    marks = np.zeros((256, len(sets) + 2), bool)
+    marks[list(_W), -2] = True
     for i, x in enumerate(sets):
         marks[list(x), i] = True
     marks[SEPARATOR, -1] = True
@@ -223,7 +234,17 @@ def compile_dfa(trees: list, search: bool) -> Dfa:
     separator = int(classes[SEPARATOR])
     width = len(first)
     initial = closure[begin]
-    extra = initial if search else frozenset()
+    extra = [closure[inner] if int(b) in _W else initial for b in first] if search else [frozenset()] * width
+
+    def lean(states: set) -> frozenset:
+        """Without states that another one makes needless: further on in {m,} of one set accepts all that less far does."""
+        most: dict[int, int] = {}
+        for s in states:
+            if s in nfa.run:
+                r, i = nfa.run[s]
+                most[r] = max(i, most.get(r, -1))
+        return frozenset(s for s in states if s not in nfa.run or most[nfa.run[s][0]] == nfa.run[s][1]) if most else frozenset(states)
+
     index, order, rows = {initial: 0}, [initial], []
     for state in order:
         to: list[set] = [set() for _ in range(width)]
@@ -234,7 +255,7 @@ def compile_dfa(trees: list, search: bool) -> Dfa:
                     to[k] |= reach
         row = []
         for k in range(width):
-            t = initial if search and k == separator else frozenset(to[k] | extra)
+            t = initial if search and k == separator else lean(to[k] | extra[k])
             if t not in index:
                 index[t] = len(order)
                 order.append(t)

@@ -32,19 +32,20 @@ class Rule:
     fold_case: bool = False
     left: bool = True
     right: bool = True
+    least: int = 0  # bytes; shorter matches don't count (cheaper than counting states in open-ended runs)
+    tail: int = 0  # bytes; so long must the letters, digits and +/_- be that end the match
 
 
 #: The production rules.
 RULES = (
     Rule("aws_access_key", r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}"),
     Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("google_api_key", r"AIza[0-9A-Za-z_\-]{35}", right=False),
-    Rule("slack_token", r"xox[abeprs]-[A-Za-z0-9\-]{10,60}", right=False),
-    Rule("stripe_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]{24,}"),
+    Rule("google_api_key", r"AIza[0-9A-Za-z_\-]+", right=False, least=39),
+    Rule("slack_token", r"xox[abeprs]-[A-Za-z0-9\-]+", right=False, least=16),
+    Rule("stripe_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]+", least=32),
     Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----", left=False, right=False),
-    Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", right=False),
-    Rule("url_password", r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._\-]{1,32}:[A-Za-z0-9._\-!%&*#$]{4,32}@[A-Za-z0-9]", right=False),
-    Rule("assigned_secret", r"(?:token|secret|passwd|password|api[_\-]?key|access[_\-]?key|auth[_\-]?key|client[_\-]?secret|private[_\-]?key)[\"']?[ \t!%&*$#]{0,5}(?:=|:|:=|=>)[ \t!%&*$#]{0,5}[\"']?[A-Za-z0-9+/_\-]{16,}", True, False, False),
+    Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_.\-]+", right=False, least=40),
+    Rule("assigned_secret", r"(?:token|secret|passwd|password|api[_\-]?key|access[_\-]?key|auth[_\-]?key|client[_\-]?secret|private[_\-]?key)[\"' \t!%&*$#]*[=:][\"'> \t!%&*$#]*[A-Za-z0-9+/_\-]+", True, False, False, tail=16),
 )
 
 
@@ -60,10 +61,11 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
     if len(rules) > 62:
         raise ValueError("at most 62 rules to an automaton")
     trees = [am.parse(r.pattern, r.fold_case) for r in rules]
-    return Compiled(rules, am.compile_dfa(trees, search=True), tuple(am.compile_dfa([am.reverse(t)], search=False) for t in trees))
+    return Compiled(rules, am.compile_dfa(trees, True, [r.left for r in rules]), tuple(am.compile_dfa([am.reverse(t)], False) for t in trees))
 
 
 _WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+_TAIL = _WORD | frozenset(b"+/-")
 
 
 def scan_texts(texts: list[bytes], c: Compiled) -> list[list[tuple[int, int, int]]]:
@@ -95,8 +97,10 @@ def scan_texts(texts: list[bytes], c: Compiled) -> list[list[tuple[int, int, int
         last = -1
         for s in sorted(spans):
             if s >= last:
-                out[d].append((s, spans[s], k))
                 last = spans[s]
+                rule = c.rules[k]
+                if last - s >= rule.least and (not rule.tail or _TAIL.issuperset(texts[d][max(s, last - rule.tail) : last]) and last - s >= rule.tail):
+                    out[d].append((s, last, k))
     for x in out:
         x.sort()
     return out
