@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import compression, minhash, toxicity
+from quern.llm import compression, minhash, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -24,5 +24,10 @@ def op4_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_compression, op4_near_dedup)}
+def op7_secrets(spark, sf_dir):
+    """Every secret with its rule, place and digest."""
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_compression, op4_near_dedup, op7_secrets)}
 SQL: dict[str, str] = {}
