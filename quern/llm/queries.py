@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import compression, minhash, secrets, toxicity
+from quern.llm import compression, minhash, mixing, packing, secrets, substring, toxicity
 from quern.llm.common import table
 
 
@@ -29,5 +29,20 @@ def op7_secrets(spark, sf_dir):
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_compression, op4_near_dedup, op7_secrets)}
+def op6_mixing(spark, sf_dir):
+    """The order of the mixture: every document once at least."""
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark, sf_dir):
+    """Every piece with its bin."""
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark, sf_dir):
+    """Every span to remove."""
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_compression, op4_near_dedup, op6_mixing, op7_secrets, op8_packing, op10_substring_dedup)}
 SQL: dict[str, str] = {}
