@@ -2,7 +2,7 @@
 
 Everything is columns: the text is split, lines are matched by rlike, offsets come from the matched
 prefix's bytes. content may be a string or binary; binary that has a NUL in its first 8,192 bytes is
-skipped, and bytes that aren't UTF-8 read as U+FFFD.
+skipped, and bytes that aren't UTF-8 read as U+FFFD; offsets are bytes of the line as it is returned.
 """
 
 from __future__ import annotations

@@ -35,7 +35,6 @@ class Found:
 def walk(root: str, max_filesize: int = MAX_FILESIZE, follow: bool = False) -> list[Found]:
     """The files of a tree, sorted by path."""
     out: list[Found] = []
-    seen: set[tuple[int, int]] = set()
 
     def ignored(rel: str, folder: bool, rules: list[tuple[str, Ignore]]) -> bool:
         for base, r in rules:
@@ -44,7 +43,7 @@ def walk(root: str, max_filesize: int = MAX_FILESIZE, follow: bool = False) -> l
                 return said
         return False
 
-    def visit(folder: str, rel: str, rules: list[tuple[str, Ignore]]) -> None:
+    def visit(folder: str, rel: str, rules: list[tuple[str, Ignore]], above: tuple) -> None:
         with os.scandir(folder) as it:
             entries = sorted(it, key=lambda e: e.name)
         own = []
@@ -67,16 +66,14 @@ def walk(root: str, max_filesize: int = MAX_FILESIZE, follow: bool = False) -> l
             if ignored(inner, is_dir, rules):
                 continue
             if is_dir:
-                if follow:
-                    key = (s.st_dev, s.st_ino)
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                visit(path, inner + "/", rules)
+                key = (s.st_dev, s.st_ino)
+                if key not in above:  # else a link leads back to a folder it lies in
+                    visit(path, inner + "/", rules, (*above, key))
             elif stat.S_ISREG(s.st_mode) and s.st_size <= max_filesize:
                 out.append(Found(path, s.st_size, int(s.st_mtime)))
 
-    visit(os.path.abspath(root), "", [])
+    top = os.stat(root)
+    visit(os.path.abspath(root), "", [], ((top.st_dev, top.st_ino),))
     return sorted(out, key=lambda f: f.path)
 
 
