@@ -284,6 +284,7 @@ def sniff(data: bytes, a: ahocorasick.Automaton) -> tuple[str, bool, list[tuple[
     if not data:
         return "empty", False, []
     found: list[tuple[int, int, str, str, int]] = []
+    solid = 0  # so far reach media that nothing is carved out of
     for end, (k, n) in a.iter(data.decode("latin-1")):
         at = end - n + 1
         if k < 0:
@@ -299,10 +300,12 @@ def sniff(data: bytes, a: ahocorasick.Automaton) -> tuple[str, bool, list[tuple[
                     found.append((at, m.end() - at, kind, "base64", xxhash.xxh3_64_intdigest(inner) >> 1))
             continue
         at -= FORMATS[k][1]
-        if at < 0 or (FORMATS[k][3] and at) or (found and at and any(o <= at < o + m for o, m, *_ in found[-4:])):
+        if at < 0 or (FORMATS[k][3] and at) or at < solid:
             continue
         if got := _valid(k, data, at):
             found.append((at, got[1], got[0], "raw", xxhash.xxh3_64_intdigest(data[at : at + got[1]]) >> 1))
+            if got[0] not in _CONTAINERS:
+                solid = max(solid, at + got[1])
     found.sort(key=lambda x: (x[0], -x[1]))
     root = next((x for x in found if x[0] == 0 and x[3] == "raw"), None)
     if root:

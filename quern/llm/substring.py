@@ -1,7 +1,8 @@
 """Substring dedup by hashed units.
 
 Lines are cut into clauses (at line ends and at . ! ? ; : , with the white space after them), so that a
-passage put into the middle of a line still has whole units of its own. A unit of `unit_words` words at
+passage put into the middle of a line still has whole units of its own; clauses of more than `long_words`
+words are cut again after words whose hash says so, wherever they stand. A unit of `unit_words` words at
 least is lower-cased, its white space made single, and hashed; digests are grouped over the whole
 corpus, ranked by (doc_id, start). All but the first ranked occurrence are repeats. Repeats that follow
 each other in a document (shorter units between them don't count) and have `least_words` words or more
@@ -16,6 +17,7 @@ not read.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import pick, slices
 
-UNIT_WORDS, LEAST_WORDS = 4, 25
+UNIT_WORDS, LEAST_WORDS, LONG_WORDS, EVERY = 2, 25, 12, 6
 _UNIT = re.compile(r"[^\n.!?;:,]+[.!?;:,]*")
+_WORD = re.compile(r"\S+")
 _UNITS = "d long, doc_id long, t long, k int, start int, stop int, words int"
 _SPANS = "doc_id long, start int, length int, words int, kept_id long, kept_start int"
 
@@ -40,9 +43,31 @@ def units(text: str, unit_words: int = UNIT_WORDS):
     for m in _UNIT.finditer(text):
         own = m[0]
         words = own.split()
-        if len(words) >= unit_words:
-            begin = m.start() + len(own) - len(own.lstrip())
-            yield signed(digest(" ".join(words).lower().encode())), begin, m.start() + len(own.rstrip()), len(words)
+        n = len(words)
+        if n < unit_words:
+            continue
+        begin = m.start()
+        if n <= LONG_WORDS:
+            yield signed(digest(" ".join(words).lower().encode())), begin + len(own) - len(own.lstrip()), begin + len(own.rstrip()), n
+            continue
+        part = []
+        for w in _WORD.finditer(own):
+            part.append(w)
+            if _cuts_after(w[0]):
+                if len(part) >= unit_words:
+                    yield _unit(part, begin)
+                part = []
+        if len(part) >= unit_words:
+            yield _unit(part, begin)
+
+
+def _unit(part: list[re.Match], begin: int) -> tuple[int, int, int, int]:
+    return signed(xxhash.xxh3_64_intdigest(" ".join([w[0] for w in part]).lower().encode())), begin + part[0].start(), begin + part[-1].end(), len(part)
+
+
+@lru_cache(maxsize=1 << 17)
+def _cuts_after(word: str) -> bool:
+    return xxhash.xxh3_64_intdigest(word.lower().encode()) % EVERY == 0
 
 
 def spans(rows: list[tuple], least_words: int = LEAST_WORDS) -> list[tuple]:
