@@ -2,14 +2,16 @@
 
 Everything is columns: the text is split, lines are matched by rlike, offsets come from the matched
 prefix's bytes. content may be a string or binary; binary that has a NUL in its first 8,192 bytes is
-skipped, and bytes that aren't UTF-8 read as U+FFFD; offsets are bytes of the line as it is returned.
+skipped, and bytes that aren't UTF-8 read as U+FFFD; offsets are always those of the bytes in the file.
 """
 
 from __future__ import annotations
 
+import codecs
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +96,54 @@ def offsets(line: str, regex: rx.Regex) -> tuple[Column, Column]:
     return start, start + F.octet_length(F.regexp_extract(line, java, 0)).cast("long")
 
 
+def _in_file(lossy: list[int], raw: bytes) -> list[int]:
+    """Byte offsets of a line as it is shown, as offsets of its bytes in the file."""
+    bad: list[tuple[int, int]] = []
+
+    def note(e: UnicodeDecodeError):
+        bad.append((e.start, e.end))
+        return "\ufffd", e.end
+
+    codecs.register_error("quern_note", note)
+    raw.decode("utf-8", "quern_note")
+    out = []
+    for at in lossy:
+        extra = 0
+        for s, e in bad:
+            if s + extra + 3 > at:
+                break
+            extra += 3 - (e - s)
+        out.append(at - extra)
+    return out
+
+
+def _invalid(df: DataFrame, found: DataFrame) -> DataFrame:
+    """Gives matches in texts that aren't UTF-8 their offsets in the file. Only such rows come here."""
+    types = {f.name: f for f in found.schema.fields}
+    line = F.split(F.decode("content", "ISO-8859-1"), "\n", -1)
+    raw = df.select(F.col("file_path").alias("raw_path"), F.posexplode(line).alias("raw_at", "raw_line")).select("raw_path", (F.col("raw_at") + 1).cast("long").alias("raw_number"), F.encode("raw_line", "ISO-8859-1").alias("raw_line"))
+    rows = found.join(raw, (F.col("file_path") == F.col("raw_path")) & (F.col("line_number") == F.col("raw_number"))).drop("raw_path", "raw_number")
+
+    @F.pandas_udf("match_start long, match_end long")
+    def moved(start: pd.Series, end: pd.Series, raw_line: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_in_file([s, e], r) for s, e, r in zip(start, end, raw_line)], columns=["match_start", "match_end"])
+
+    rows = rows.withColumn("moved", moved("match_start", "match_end", "raw_line"))
+    return rows.select(*[F.col(f"moved.{c}").alias(c) if c in ("match_start", "match_end") else F.col(c) for c in types])
+
+
 def search(corpus: DataFrame, pattern: str | list[str], options: SearchOptions | None = None, **kw) -> DataFrame:
     """(file_path, line_number, line_content, match_start, match_end): one row per matching line, its first
     match's byte offsets; with context > 0 also context_before and context_after."""
     o = replace(options or SearchOptions(), **kw)
+    if dict(corpus.dtypes)["content"] != "binary":
+        return _search(corpus, pattern, o)
+    ok = F.is_valid_utf8(F.col("content").cast("string"))
+    odd = corpus.where(~ok)
+    return _search(corpus.where(ok), pattern, o).unionByName(_invalid(filtered(odd, o), _search(odd, pattern, o)))
+
+
+def _search(corpus: DataFrame, pattern: str | list[str], o: SearchOptions) -> DataFrame:
     one, regex = effective(pattern, o)
     kind = rx.kind(one) if isinstance(pattern, str) and not o.fixed else "normal"
     df = text_of(filtered(corpus, o))
