@@ -8,7 +8,8 @@ In a block each id is coded against a mixture of three predictions: what followe
 (order 2), what followed the same id last (order 1), and the frequencies of the ids that neither
 foretold (order 0). How much of the range the first two get is learned for each class of confidence
 (how often in a row each has been right, and whether they agree). Frequencies adapt at the ends of
-growing segments. The mixture drives a carry-less 64-bit range coder that writes 16-bit words.
+growing segments. The mixture is one interval for each id, which drives a carry-less 64-bit range coder
+that writes 16-bit words.
 
 As the encoder knows the ids, all predictions of a block are found by sorting contexts, and the range
 coder advances many blocks at once, one step of all in each pass. The decoder goes id by id.
@@ -32,15 +33,73 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import pick, slices
 
-VOCABULARY, BLOCK, LANES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 16384, 256
+VOCABULARY, BLOCK, LANES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 16384, 512
 _SPLIT = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _MIX, _STEP = 12, 32
 U = np.uint64
 SCHEMA = "doc_ids array<long>, starts array<long>, lengths array<long>, n_ids long, crc long, n_bytes long, payload binary"
 
 
-class Words(dict):
-    """Ids of each piece that the pattern splits off, kept for the life of the worker within a bound."""
+#: classes of bytes: 0 letter (and all beyond ASCII), 1 digit, 2 other sign, 3 space, 4 other white space
+_CLASS = np.array([0 if b > 127 or chr(b).isalpha() else 1 if chr(b).isdigit() else 3 if b == 32 else 4 if b in b"\t\n\v\f\r\x1c\x1d\x1e\x1f" else 2 for b in range(256)], np.uint8)
+#: characters beyond ASCII that aren't letters, or white space that the byte classes don't know: such texts take the pattern itself
+_ODD = regex.compile(r"[^\x00-\x1b\x20-\x7f\p{L}]")
+_BASE, _INVERSE = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for the life of the worker."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            x = np.full(max(n, 1 << 20), base, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.multiply.accumulate(x)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def pieces(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pattern's pieces begin in texts laid end to end that begin at `first`; the texts have no _ODD characters."""
+    n = len(raw)
+    kind = _CLASS[raw]
+    edge = np.zeros(n, bool)
+    edge[first] = True
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = 9, kind[:-1]
+    before[edge] = 9
+    solid = kind < 3
+    start = edge | (solid & (before != kind))
+    # one space goes with what follows; of other white space the last before a word is a piece, the rest another
+    white = ~solid
+    start |= white & (before < 3)
+    last = np.zeros(n, bool)
+    last[:-1] = white[:-1] & solid[1:] & ~edge[1:]
+    start |= last
+    lone = last & (kind == 3)
+    start[1:] &= ~(lone[:-1] & ~edge[1:])
+    start[1:] |= (last & (kind == 4))[:-1]
+    # 's 't 'd 'm 'll 've 're at the beginning of a run of signs
+    at = np.flatnonzero((raw == 39) & start)
+    if len(at):
+        pad = np.concatenate([raw, np.zeros(3, np.uint8)])
+        ends = np.append(np.flatnonzero(edge), n)
+        stop = ends[np.searchsorted(ends, at, side="right")]
+        a, b = pad[at + 1], pad[at + 2]
+        one = np.isin(a, np.frombuffer(b"sdmt", np.uint8)) & (at + 1 < stop)
+        two = ~one & (((a == 108) & (b == 108)) | ((a == 118) & (b == 101)) | ((a == 114) & (b == 101))) & (at + 2 < stop)
+        for hit, size in ((one, 2), (two, 3)):
+            own = at[hit]
+            start[own + 1] = False
+            nxt, limit = own + size, stop[hit]
+            ok = nxt < limit
+            after = nxt[ok][kind[nxt[ok]] == 0]
+            start[after] = True
+    return np.flatnonzero(start)
+
+
+class Words:
+    """Ids of texts. Pieces are cut and hashed for many texts at once; each different piece is looked up once,
+    and its ids kept for the life of the worker within a bound."""
 
     def __init__(self, path: str, most: int = 400_000):
         import tiktoken
@@ -48,26 +107,62 @@ class Words(dict):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=_SPLIT.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.most = most
-        if max(self.ranks.values()) > 65535:
+        self.most, self.kept = most, {}
+        self.size = max(self.ranks.values()) + 1
+        if self.size > 65536:
             raise ValueError("ids must fit 16 bits")
 
-    def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.bpe.encode_ordinary(word)
-        self[word] = ids
-        return ids
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out = [np.zeros(0, np.uint16)] * len(texts)
+        fast = []
+        for i, t in enumerate(texts):
+            if t and not t.isascii() and _ODD.search(t) or t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f"):
+                out[i] = np.array(self.bpe.encode_ordinary(t), np.uint16)
+            elif t:
+                fast.append(i)
+        if not fast:
+            return out
+        data = [texts[i].encode() for i in fast]
+        whole = b"".join(data)
+        raw = np.frombuffer(whole, np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        begin = pieces(raw, first[:-1])
+        end = np.append(begin[1:], len(raw))
+        up, down = _powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        hashes = (sums[end] - sums[begin]) * down[begin]
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        which = np.empty(len(begin), np.int64)
+        which[order] = np.cumsum(new) - 1
+        some = order[new]
+        if len(self.kept) > self.most:
+            self.kept.clear()
+        kept, encode_one = self.kept, self.bpe.encode_ordinary
+        ids = []
+        for s, e in zip(begin[some].tolist(), end[some].tolist()):
+            word = whole[s:e]
+            got = kept.get(word)
+            if got is None:
+                got = kept[word] = encode_one(word.decode())
+            ids.append(got)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for w in ids for x in w), np.uint16, int(sizes.sum()))
+        base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        own = sizes[which]
+        stop = np.cumsum(own)
+        at = np.arange(stop[-1]) + np.repeat(base[which] - (stop - own), own)
+        all_ids = flat[at]
+        cut = np.concatenate([[0], stop])[np.searchsorted(begin, first)]
+        for k, i in enumerate(fast):
+            out[i] = all_ids[cut[k] : cut[k + 1]]
+        return out
 
     def ids(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        for word in _SPLIT.findall(text):
-            out += self[word]
-        return np.array(out, np.uint16)
-
-    @property
-    def size(self) -> int:
-        return max(self.ranks.values()) + 1
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -76,8 +171,8 @@ def words(path: str = VOCABULARY) -> Words:
 
 
 def cuts(n: int) -> list[int]:
-    """Where segments begin: 0, 256, 512, 1024, 2048, then each 2048."""
-    return [c for c in [0, 256, 512, 1024, *range(2048, max(n, 2048), 2048)] if c < max(n, 1)]
+    """Where segments begin: 0, 256, 1024, 2048, 4096, then each 4096."""
+    return [c for c in [0, 256, 1024, 2048, *range(4096, max(n, 4096), 4096)] if c < max(n, 1)]
 
 
 def _follow(x: np.ndarray, order: np.ndarray, same: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,35 +220,37 @@ def _split(counts: np.ndarray, klass: np.ndarray) -> np.ndarray:
 
 
 def model(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The coder's steps for one block: (cumulative, frequency, total)."""
+    """The coder's step for each id of a block: (cumulative, frequency, total)."""
     n = len(x)
     g2, g1, klass = _classes(x)
     y = np.where(x == g2, 0, np.where(x == g1, 1, 2))
     begin = cuts(n)
-    segment = np.searchsorted(begin, np.arange(n), side="right") - 1
-    seen = np.zeros((len(begin), 50, 3), np.int64)
-    np.add.at(seen, (segment, klass, y), 1)
+    count = len(begin)
+    slot = np.repeat(np.arange(count), np.diff([*begin, n])) * 50 + klass
+    seen = np.bincount(slot * 3 + y, minlength=count * 150).reshape(count, 50, 3)
     seen = np.concatenate([np.zeros((1, 50, 3), np.int64), seen.cumsum(axis=0)[:-1]])
-    f = _split(seen[segment, klass], klass)
-    cum = np.concatenate([np.zeros((n, 1), np.int64), f.cumsum(axis=1)], axis=1)
-    row = np.arange(n)
-    flag = (klass > 0)
-    escape = y == 2
-    cum0, freq0, total0 = (np.zeros(n, np.int64) for _ in range(3))
+    f = _split(seen.reshape(-1, 3), np.tile(np.arange(50), count))
+    total = np.zeros(n, np.int64)
+    part = np.ones(n, np.int64)
+    low = np.zeros(n, np.int64)
+    escape = np.flatnonzero(y == 2)
+    edges = np.searchsorted(escape, [*begin, n])
     counts = np.ones(size, np.int64)
+    sums = np.cumsum(counts)
     for j, s in enumerate(begin):
-        e = begin[j + 1] if j + 1 < len(begin) else n
-        own = x[s:e][escape[s:e]].astype(np.int64)
-        if len(own):
-            sums = np.cumsum(counts)
-            at = np.flatnonzero(escape[s:e]) + s
-            freq0[at] = counts[own]
-            cum0[at] = sums[own] - counts[own]
-            total0[at] = sums[-1]
+        e = begin[j + 1] if j + 1 < count else n
+        at = escape[edges[j] : edges[j + 1]]
+        own = x[at]
+        part[at] = counts[own]
+        low[at] = sums[own] - part[at]
+        total[s:e] = sums[-1]
+        if len(own) and j + 1 < count:
             counts += _STEP * np.bincount(own, minlength=size)
-    steps = np.stack([flag, escape], axis=1).ravel()
-    pair = lambda a, b: np.stack([a, b], axis=1).ravel()[steps]
-    return pair(cum[row, y], cum0), pair(f[row, y], freq0), pair(np.full(n, 1 << _MIX), total0)
+            np.cumsum(counts, out=sums)
+    hit = f.ravel()[slot * 3 + y]
+    before = np.concatenate([np.zeros((len(f), 1), np.int64), f[:, :2].cumsum(axis=1)], axis=1).ravel()[slot * 3 + y]
+    known = y != 2
+    return before * total + np.where(known, 0, low * hit), hit * np.where(known, total, part), total << _MIX
 
 
 _TOP, _BOT, _MASK = U(1 << 48), U(1 << 32), U((1 << 32) - 1)
@@ -164,40 +261,52 @@ def code(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
     order = sorted(range(len(steps)), key=lambda i: -len(steps[i][0]))
     counts = [len(steps[i][0]) for i in order]
     most, lanes = counts[0] if counts else 0, len(order)
-    grid = np.zeros((3, most, lanes), U)
+    grid = np.ones((most, 3, lanes), np.uint32)
     for lane, i in enumerate(order):
         for k in range(3):
-            grid[k, : counts[lane], lane] = steps[i][k]
+            grid[: counts[lane], k, lane] = steps[i][k]
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    out = np.zeros((lanes, 2 * most + 8), ">u2")
-    place = np.zeros(lanes, np.int64)
-    active = lanes
+    # what is shifted out, for all lanes at once: words and whether each lane wrote one
+    said, wrote = np.zeros((2 * most + 8, lanes), np.uint16), np.zeros((2 * most + 8, lanes), bool)
+    near, short, sums, word = np.empty(lanes, bool), np.empty(lanes, bool), np.empty(lanes, U), np.empty(lanes, U)
+    row, active = 0, lanes
+    views = None
     for t in range(most):
         while counts[active - 1] <= t:
             active -= 1
-        lo, sp = low[:active], span[:active]
-        sp //= grid[2, t, :active]
-        lo += grid[0, t, :active] * sp
-        sp *= grid[1, t, :active]
+            views = None
+        if views is None:
+            views = [x[:active] for x in (low, span, near, short, sums, word)]
+            lo, sp, ne, sh, su, wo = views
+        cum, freq, total = grid[t, :, :active].astype(U)
+        np.floor_divide(sp, total, out=sp)
+        np.multiply(cum, sp, out=cum)
+        np.add(lo, cum, out=lo)
+        np.multiply(sp, freq, out=sp)
         while True:
-            near = (lo ^ (lo + sp)) < _TOP
-            short = sp < _BOT
-            k = np.flatnonzero(near | short)
-            if not len(k):
+            np.add(lo, sp, out=su)
+            np.bitwise_xor(su, lo, out=su)
+            np.less(su, _TOP, out=ne)
+            np.less(sp, _BOT, out=sh)
+            np.logical_or(ne, sh, out=sh)
+            if not sh.any():
                 break
-            cut = k[~near[k]]
-            sp[cut] = (~lo[cut] + U(1)) & _MASK
-            out[k, place[k]] = lo[k] >> U(48)
-            place[k] += 1
-            lo[k] <<= U(16)
-            sp[k] <<= U(16)
-    for _ in range(4):
-        out[np.arange(lanes), place] = low >> U(48)
-        place += 1
-        low <<= U(16)
+            np.greater(sh, ne, out=ne)
+            if ne.any():
+                sp[ne] = (~lo[ne] + U(1)) & _MASK
+            np.right_shift(lo, U(48), out=wo)
+            if row == len(said):
+                said, wrote = np.concatenate([said, np.zeros_like(said)]), np.concatenate([wrote, np.zeros_like(wrote)])
+            said[row, :active], wrote[row, :active] = wo, sh
+            row += 1
+            np.multiply(sh, U(16), out=wo)
+            np.left_shift(lo, wo, out=lo)
+            np.left_shift(sp, wo, out=sp)
     done = [b""] * lanes
+    tail = np.stack([low >> U(48 - 16 * k) & U(0xFFFF) for k in range(4)], axis=1).astype(">u2") if lanes else None
+    said, wrote = np.ascontiguousarray(said[:row].T), np.ascontiguousarray(wrote[:row].T)
     for lane, i in enumerate(order):
-        done[i] = out[lane, : place[lane]].tobytes()
+        done[i] = said[lane][wrote[lane]].astype(">u2").tobytes() + tail[lane].tobytes()
     return done
 
 
@@ -250,20 +359,17 @@ def decode(payload: bytes, n: int, size: int, crc: int | None = None) -> np.ndar
         p2 = last2.get((out[-2], out[-1])) if t > 1 else None
         klass = ((1 + p2[1]) * 5 if p2 else 0) * 2 + (1 + p1[1] if p1 else 0) * 2 + bool(p1 and p2 and p1[0] == p2[0])
         y = 2
-        if klass:
-            a, b, _ = f[klass]
-            span //= 1 << _MIX
-            v = ((value - low) & all64) // span
-            y = 0 if v < a else 1 if v < a + b else 2
-            settle((0, a, a + b)[y], f[klass][y])
+        a, b, c = f[klass]
+        span //= total << _MIX
+        v = ((value - low) & all64) // span
+        y = 0 if v < a * total else 1 if v < (a + b) * total else 2
         if y == 2:
-            span //= total
-            v = ((value - low) & all64) // span
-            x = int(np.searchsorted(sums, v, side="right"))
-            settle(int(sums[x] - counts[x]), int(counts[x]))
+            x = int(np.searchsorted(sums, (v - (a + b) * total) // c, side="right"))
+            settle((a + b) * total + int(sums[x] - counts[x]) * c, c * int(counts[x]))
             fresh.append(x)
         else:
             x = (p2, p1)[y][0]
+            settle((0, a)[y] * total, f[klass][y] * total)
         later[klass, y] += 1
         for last, p, key in ((last1, p1, out[-1] if t else None), (last2, p2, (out[-2], out[-1]) if t > 1 else None)):
             if p:
@@ -302,8 +408,8 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) ->
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for b in slices(batches, "t"):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = w.ids(text) if text else np.zeros(0, np.uint16)
+            texts = b.column(1).to_pylist()
+            for doc, text, ids in zip(b.column(0).to_pylist(), texts, w.many([t or "" for t in texts])):
                 at = 0
                 while True:
                     part = ids[at : at + room]

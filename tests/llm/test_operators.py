@@ -538,6 +538,13 @@ def test_coder_round_trip(blocks):
                 binary.decode(p, len(x), 50257, crc ^ 1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("'stldmverx \n\té1²!_日\x1c\x85\u00a0😀A"), max_size=12), max_size=4))
+def test_tokens_equal_the_pattern(texts):
+    w = binary.words()
+    assert [g.tolist() for g in w.many(texts)] == [w.bpe.encode_ordinary(t) for t in texts]
+
+
 def test_coder_learns():
     x = np.tile(np.random.default_rng(3).integers(0, 50000, 300).astype(np.uint16), 30)
     assert len(binary.encode([x], 50257)[0]) * 8 / len(x) < 2.0
