@@ -134,7 +134,12 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     s, m = spans(raw, np.repeat(offsets[1:], size))
     row = np.repeat(np.arange(len(column)), size)[s]
     h = _hashes(raw, s, m)
-    order = np.lexsort((h, row))
+    # rows of spans are in order for each length: sort by hash and then, stably, by row (16-bit keys sort by radix)
+    order = np.argsort(h)
+    if len(column) < 1 << 16:
+        order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    else:
+        order = np.lexsort((h, row))
     row, h = row[order], h[order]
     first = np.ones(len(h), bool)
     first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])

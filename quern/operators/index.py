@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 import uuid
 import warnings
@@ -64,7 +65,9 @@ def _write(rows: DataFrame, folder: str) -> tuple[int, int]:
     rows.drop("content").write.parquet(f"{folder}/files")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     grams = extract(rows.where(~F.col("skipped")))
-    grams.repartitionByRange(parts, "gram").sortWithinPartitions("gram", "file_id").write.parquet(f"{folder}/postings")
+    # n-gram hashes are uniform, so equal ranges of them need no sampling pass over the texts
+    part = F.floor((F.shiftright("gram", 32) + (1 << 31)) * parts / (1 << 32)).cast("int")
+    grams.repartitionById(parts, part).sortWithinPartitions("gram", "file_id").write.parquet(f"{folder}/postings")
     got = rows.sparkSession.read.parquet(f"{folder}/postings").agg(F.count_distinct("gram")).first()[0]
     return rows.sparkSession.read.parquet(f"{folder}/files").where(~F.col("skipped")).count(), got
 
@@ -112,6 +115,16 @@ def build(corpus: DataFrame, root: str, commit: str | None = None) -> dict:
         return state
 
 
+def copy(root: str, to: str) -> dict:
+    """A second index with the same base, e.g. to try an update on."""
+    state = current(root)
+    with _Lock(to):
+        shutil.copytree(f"{root}/{state['base']}", f"{to}/{state['base']}")
+        state |= {"id": uuid.uuid4().hex, "overlay": None, "tombstones": 0, "overlay_files": 0, "overlay_grams": 0}
+        _switch(to, state)
+    return state
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(file_path, change): added, changed or deleted, by size, time and content."""
     a = old.select("file_path", F.struct("size", "mtime", "digest").alias("was"))

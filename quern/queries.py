@@ -55,7 +55,7 @@ def updated_index(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _UPDATED or index.current(_UPDATED[key]) is None:
         root = shared(spark, "updated")
-        index.build(corpus(spark, sf_dir), root)
+        index.copy(index_of(spark, sf_dir), root)
         index.update(edited(spark, sf_dir), root)
         _UPDATED[key] = root
     return _UPDATED[key]
