@@ -1,12 +1,13 @@
 """Substring dedup by hashed units.
 
-Lines are cut into clauses (at line ends and at . ! ? ; : , with the white space after them), so that a
-passage put into the middle of a line still has whole units of its own; clauses of more than `long_words`
-words are cut again after words whose hash says so, wherever they stand. A unit of `unit_words` words at
-least is lower-cased, its white space made single, and hashed; digests are grouped over the whole
-corpus, ranked by (doc_id, start). All but the first ranked occurrence are repeats. Repeats that follow
-each other in a document (shorter units between them don't count) and have `least_words` words or more
-together are one span to remove, so that chance repeats of short clauses leave a text alone.
+Lines are cut into units at words whose hash is the least of the `unit_words` - 1 words on either side (and at
+the line's ends). Where a cut falls depends on the words around it alone, so a passage put into the
+middle of another line has the same units there, but for those at its edges; and units have `unit_words`
+words at least (short common phrases would be hot keys), a shorter rest of a line is none. A unit is
+lower-cased, its white space made single, and hashed; digests are grouped over the whole corpus,
+ranked by (doc_id, start). All but the first ranked occurrence are repeats. Repeats that follow each
+other in a document and have `least_words` words or more together are one span to remove, so that
+chance repeats of short units leave a text alone.
 
 Defined results: offsets are characters from 0 in the original text. Null and empty texts have no
 units. A null doc_id ranks last and is reported as null. Rows with the same doc_id and text are one
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import pick, slices
 
-UNIT_WORDS, LEAST_WORDS, LONG_WORDS, EVERY = 2, 25, 12, 6
-_UNIT = re.compile(r"[^\n.!?;:,]+[.!?;:,]*")
-_WORD = re.compile(r"\S+")
+UNIT_WORDS, LEAST_WORDS = 4, 20
+_WORD = re.compile(r"\n|\S+")
+_NONE = (1 << 64) - 1
 _UNITS = "d long, doc_id long, t long, k int, start int, stop int, words int"
 _SPANS = "doc_id long, start int, length int, words int, kept_id long, kept_start int"
 
@@ -38,36 +40,44 @@ def signed(x: int) -> int:
 
 
 def units(text: str, unit_words: int = UNIT_WORDS):
-    """(digest, start, stop, words) of each unit that is long enough, in order."""
+    """(digest, start, stop, words) of each unit, in order."""
+    words, begin, end, marks = [], [], [], []
+    gap = unit_words - 1
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if word == "\n":  # nothing reaches over a line's end
+            words += [""] * gap
+            begin += [0] * gap
+            end += [0] * gap
+            marks += [_NONE] * gap
+        else:
+            words.append(word)
+            begin.append(m.start())
+            end.append(m.end())
+            marks.append(_mark(word))
+    n = len(words)
+    if n < unit_words:
+        return
+    h = np.full(n + 2 * gap, _NONE, np.uint64)
+    h[gap : gap + n] = marks
+    own = h[gap : gap + n]
+    left, right = h[:n], h[gap + 1 : gap + 1 + n]
+    for k in range(1, gap):
+        left, right = np.minimum(left, h[k : k + n]), np.minimum(right, h[gap + 1 + k : gap + 1 + k + n])
+    real = own != _NONE
+    cut = real & (own < left) & (own <= right)
+    first, last = real.copy(), real.copy()
+    first[1:] &= cut[:-1] | ~real[:-1]
+    last[:-1] &= cut[:-1] | ~real[1:]
     digest = xxhash.xxh3_64_intdigest
-    for m in _UNIT.finditer(text):
-        own = m[0]
-        words = own.split()
-        n = len(words)
-        if n < unit_words:
-            continue
-        begin = m.start()
-        if n <= LONG_WORDS:
-            yield signed(digest(" ".join(words).lower().encode())), begin + len(own) - len(own.lstrip()), begin + len(own.rstrip()), n
-            continue
-        part = []
-        for w in _WORD.finditer(own):
-            part.append(w)
-            if _cuts_after(w[0]):
-                if len(part) >= unit_words:
-                    yield _unit(part, begin)
-                part = []
-        if len(part) >= unit_words:
-            yield _unit(part, begin)
-
-
-def _unit(part: list[re.Match], begin: int) -> tuple[int, int, int, int]:
-    return signed(xxhash.xxh3_64_intdigest(" ".join([w[0] for w in part]).lower().encode())), begin + part[0].start(), begin + part[-1].end(), len(part)
+    for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist()):
+        if b - a + 1 >= unit_words:
+            yield signed(digest(" ".join(words[a : b + 1]).lower().encode())), begin[a], end[b], b - a + 1
 
 
 @lru_cache(maxsize=1 << 17)
-def _cuts_after(word: str) -> bool:
-    return xxhash.xxh3_64_intdigest(word.lower().encode()) % EVERY == 0
+def _mark(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.lower().encode()) >> 1
 
 
 def spans(rows: list[tuple], least_words: int = LEAST_WORDS) -> list[tuple]:
