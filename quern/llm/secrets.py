@@ -2,7 +2,8 @@
 
 All rules are parsed, joined and made into one minimal automaton over bytes (subset construction,
 then partition refinement), whose transition array is walked once over each byte. Where it accepts, a
-small automaton of the reversed rule walks back to the start. Per rule the matches are the leftmost
+small automaton of the reversed rule walks back to the start. A private key is found by its header and
+goes on to its END line (to the end of the base64 run where there is none). Per rule the matches are the leftmost
 and longest that don't overlap, with no letter, digit or _ directly before (`left`) or after (`right`).
 
 Defined results: null and empty texts hold no secrets; rows with a null doc_id are reported with a null
@@ -13,6 +14,7 @@ merged under the name of the first and longest in redact(). Offsets are characte
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,8 +36,16 @@ class Rule:
     right: bool = True
     least: int = 0  # bytes; shorter matches don't count (cheaper than counting states in open-ended runs)
     tail: int = 0  # bytes; so long must the letters, digits and +/_- be that end the match
+    head: str = ""  # what the automaton looks for, where the pattern goes on behind it at length (a loop there would multiply its states)
 
 
+_PEM = r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+#: Behind a key's header: all up to its END line; without one, header lines and the base64 run (line ends may be
+#: written \\n, lines may be quoted), whose last line may be short.
+_BODY = (
+    rf"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_PEM}"
+    r"|(?:(?:\s*+[A-Za-z][A-Za-z0-9\-]*+: [^\r\n]*+)*+(?:(?:[\s\"',>]|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:[\s\"',>]|\\[nr])*+[A-Za-z0-9+/=]{1,15}+)?+)?+)"
+)
 #: The production rules.
 RULES = (
     Rule("aws_access_key", r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}"),
@@ -43,7 +53,7 @@ RULES = (
     Rule("google_api_key", r"AIza[0-9A-Za-z_\-]+", right=False, least=39),
     Rule("slack_token", r"xox[abeprs]-[A-Za-z0-9\-]+", right=False, least=16),
     Rule("stripe_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]+", least=32),
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----", left=False, right=False),
+    Rule("private_key", rf"-----BEGIN {_PEM}{_BODY}", left=False, right=False, head=rf"-----BEGIN {_PEM}"),
     Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_.\-]+", right=False, least=40),
     Rule("assigned_secret", r"(?:token|secret|passwd|password|api[_\-]?key|access[_\-]?key|auth[_\-]?key|client[_\-]?secret|private[_\-]?key)[\"' \t!%&*$#]*[=:][\"'> \t!%&*$#]*[A-Za-z0-9+/_\-]+", True, False, False, tail=16),
 )
@@ -60,7 +70,7 @@ class Compiled:
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
     if len(rules) > 62:
         raise ValueError("at most 62 rules to an automaton")
-    trees = [am.parse(r.pattern, r.fold_case) for r in rules]
+    trees = [am.parse(r.head or r.pattern, r.fold_case) for r in rules]
     return Compiled(rules, am.compile_dfa(trees, True, [r.left for r in rules]), tuple(am.compile_dfa([am.reverse(t)], False) for t in trees))
 
 
@@ -89,6 +99,9 @@ def scan_texts(texts: list[bytes], c: Compiled) -> list[list[tuple[int, int, int
             if rule.right and end < len(text) and text[end] in _WORD:
                 continue
             starts = [s for s in am.begins(c.backward[k], text, end) if not (rule.left and s and text[s - 1] in _WORD)]
+            if rule.head:  # the header's last dash is where it accepts: once a header
+                whole = re.compile(rule.pattern.encode(), re.I if rule.fold_case else 0)
+                end = max((m.end() for s in starts if (m := whole.match(text, s))), default=end)
             if starts:
                 spans = found.setdefault((d, k), {})
                 for s in starts:
