@@ -4,7 +4,7 @@ All rules are parsed, joined and made into one minimal automaton over bytes (sub
 then partition refinement), whose transition array is walked once over each byte. Where it accepts, a
 small automaton of the reversed rule walks back to the start. A private key is found by its header and
 goes on to its END line (to the end of the base64 run where there is none). Per rule the matches are the leftmost
-and longest that don't overlap, with no letter, digit or _ directly before (`left`) or after (`right`).
+and longest that count (`least`, `tail`) and don't overlap, with no letter, digit or _ directly before (`left`) or after (`right`).
 
 Defined results: null and empty texts hold no secrets; rows with a null doc_id are reported with a null
 id; repeated rows are reported once each; matches of different rules may overlap in find(), and are
@@ -107,13 +107,13 @@ def scan_texts(texts: list[bytes], c: Compiled) -> list[list[tuple[int, int, int
                 for s in starts:
                     spans[s] = max(end, spans.get(s, 0))
     for (d, k), spans in found.items():
-        last = -1
+        last, rule = -1, c.rules[k]
         for s in sorted(spans):
-            if s >= last:
-                last = spans[s]
-                rule = c.rules[k]
-                if last - s >= rule.least and (not rule.tail or _TAIL.issuperset(texts[d][max(s, last - rule.tail) : last]) and last - s >= rule.tail):
-                    out[d].append((s, last, k))
+            end = spans[s]
+            if s < last or end - s < max(rule.least, rule.tail) or rule.tail and not _TAIL.issuperset(texts[d][end - rule.tail : end]):
+                continue  # a match that doesn't count hides none that begins inside it
+            last = end
+            out[d].append((s, end, k))
     for x in out:
         x.sort()
     return out

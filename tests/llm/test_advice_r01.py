@@ -36,3 +36,32 @@ def test_private_key_goes_with_its_body(rules):
         assert redact(f"a {text}\n\n(the rest stays)", rules) == "a [private_key]\n\n(the rest stays)"
     assert redact(f"a line {head} begins it", rules) == "a line [private_key] begins it"
     assert redact(f"{head}\n{body}\n{end} and {head}\n{body}\n{end}", rules) == "[private_key] and [private_key]"
+
+
+def brute_kept(text: bytes, rules):
+    """As brute_secrets, but only matches that count settle overlaps."""
+    out = []
+    for k, r in enumerate(rules):
+        p = re.compile(r.pattern.encode(), re.I if r.fold_case else 0)
+        last = -1
+        for s in range(len(text)):
+            if s < last or r.left and s and text[s - 1] in am._W:
+                continue
+            ends = (e for e in range(len(text), s, -1) if p.fullmatch(text, s, e) and not (r.right and e < len(text) and text[e] in am._W))
+            e = next(ends, None)
+            if e is not None and e - s >= max(r.least, r.tail) and (not r.tail or secrets._TAIL.issuperset(text[e - r.tail : e])):
+                out.append((s, e, k))
+                last = e
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["token", "secret", "password", "api_key", ": ", "=", "ABCD1234EFGH5678IJKL", "short", " ", "xoxb-1", "sk_live_" + "a1b2" * 6, "\n"]), max_size=9))
+def test_matches_that_do_not_count_hide_none(rules, parts):
+    text = "".join(parts).encode()
+    assert secrets.scan_texts([text], rules)[0] == brute_kept(text, rules.rules)
+
+
+def test_secret_inside_a_match_too_short(rules):
+    for a, b in (("token: ", "password"), ("secret: ", "api_key"), ("bad token: ", "auth_key")):
+        assert redact(f"{a}{b}=ABCD1234EFGH5678IJKL", rules) == f"{a}[assigned_secret]"
