@@ -3,11 +3,11 @@
 Lines are cut into units at words whose hash is the least of the `unit_words` - 1 words on either side (and at
 the line's ends). Where a cut falls depends on the words around it alone, so a passage put into the
 middle of another line has the same units there, but for those at its edges; and units have `unit_words`
-words at least (short common phrases would be hot keys), a shorter rest of a line is none. A unit is
+words at least, but for a shorter rest at a line's start or end. A unit is
 lower-cased, its white space made single, and hashed; digests are grouped over the whole corpus,
 ranked by (doc_id, start). All but the first ranked occurrence are repeats. Repeats that follow each
-other in a document and have `least_words` words or more together are one span to remove, so that
-chance repeats of short units leave a text alone.
+other in a document, with no other word between them, and have `least_words` words or more together are one span
+to remove, so that chance repeats of short units leave a text alone. Rests of lines join a run, but don't begin or end one.
 
 Defined results: offsets are characters from 0 in the original text. Null and empty texts have no
 units. A null doc_id ranks last and is reported as null. Rows with the same doc_id and text are one
@@ -56,7 +56,7 @@ def units(text: str, unit_words: int = UNIT_WORDS):
             end.append(m.end())
             marks.append(_mark(word))
     n = len(words)
-    if n < unit_words:
+    if not n:
         return
     h = np.full(n + 2 * gap, _NONE, np.uint64)
     h[gap : gap + n] = marks
@@ -71,8 +71,7 @@ def units(text: str, unit_words: int = UNIT_WORDS):
     last[:-1] &= cut[:-1] | ~real[1:]
     digest = xxhash.xxh3_64_intdigest
     for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist()):
-        if b - a + 1 >= unit_words:
-            yield signed(digest(" ".join(words[a : b + 1]).lower().encode())), begin[a], end[b], b - a + 1
+        yield signed(digest(" ".join(words[a : b + 1]).lower().encode())), begin[a], end[b], b - a + 1
 
 
 @lru_cache(maxsize=1 << 17)
@@ -80,11 +79,15 @@ def _mark(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower().encode()) >> 1
 
 
-def spans(rows: list[tuple], least_words: int = LEAST_WORDS) -> list[tuple]:
+def spans(rows: list[tuple], least_words: int = LEAST_WORDS, unit_words: int = UNIT_WORDS) -> list[tuple]:
     """rows (k, start, stop, words, kept_id, kept_start) of one document by k: its spans (start, length, words, kept_id, kept_start)."""
     out, run = [], []
 
     def close():
+        while run and run[0][3] < unit_words:
+            run.pop(0)
+        while run and run[-1][3] < unit_words:
+            run.pop()
         if run and (words := sum(r[3] for r in run)) >= least_words:
             out.append((run[0][1], run[-1][2] - run[0][1], words, run[0][4], run[0][5]))
 
@@ -117,7 +120,7 @@ def _cut(unit_words: int):
     return run
 
 
-def _merge(least_words: int):
+def _merge(least_words: int, unit_words: int):
     """Rows (doc_id, t, k, ...) sorted by document and k, in which a document may run over batches."""
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
     names = [x.split()[0] for x in _SPANS.split(", ")]
@@ -132,12 +135,12 @@ def _merge(least_words: int):
             out = []
             for d, t, *r in zip(*(c.to_pylist() for c in b.columns)):
                 if (d, t) != doc:
-                    out += [(doc[0], *s) for s in spans(kept, least_words)] if doc else []
+                    out += [(doc[0], *s) for s in spans(kept, least_words, unit_words)] if doc else []
                     doc, kept = (d, t), []
                 kept.append(r)
             yield made(out)
         if doc:
-            yield made([(doc[0], *s) for s in spans(kept, least_words)])
+            yield made([(doc[0], *s) for s in spans(kept, least_words, unit_words)])
 
     return run
 
@@ -153,4 +156,4 @@ def repeats(docs: DataFrame, unit_words: int = UNIT_WORDS, least_words: int = LE
     later = cut.withColumn("f", first).where(~F.col("f").eqNullSafe(F.struct("doc_id", "start", "t")))
     rows = later.select("doc_id", "t", "k", "start", "stop", "words", F.col("f.doc_id").alias("kept_id"), F.col("f.start").alias("kept_start"))
     rows = rows.dropDuplicates(["doc_id", "t", "k"]).repartition(parts, "doc_id", "t").sortWithinPartitions("doc_id", "t", "k")
-    return rows.mapInArrow(_merge(least_words), _SPANS)
+    return rows.mapInArrow(_merge(least_words, unit_words), _SPANS)

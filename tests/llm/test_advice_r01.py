@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import automaton as am
-from quern.llm import secrets
+from quern.llm import secrets, substring
 
 # secrets
 
@@ -65,3 +65,28 @@ def test_matches_that_do_not_count_hide_none(rules, parts):
 def test_secret_inside_a_match_too_short(rules):
     for a, b in (("token: ", "password"), ("secret: ", "api_key"), ("bad token: ", "auth_key")):
         assert redact(f"{a}{b}=ABCD1234EFGH5678IJKL", rules) == f"{a}[assigned_secret]"
+
+
+# substring dedup
+
+
+def names(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(8)) for _ in range(n))
+
+
+def removed(spark, texts, **kw):
+    """The texts of a table by doc_id without their spans."""
+    left = dict(enumerate(texts))
+    got = substring.repeats(spark.createDataFrame(list(left.items()), "doc_id long, text string"), **kw).collect()
+    for r in sorted(got, key=lambda r: -r.start):
+        left[r.doc_id] = left[r.doc_id][: r.start] + left[r.doc_id][r.start + r.length :]
+    return left
+
+
+def test_unique_text_between_repeats_stays(spark):
+    rng = random.Random(4)
+    top, low = names(rng, 30), names(rng, 30)
+    own = ["\n".join(names(rng, rng.randint(1, 3)) for _ in range(40)) for _ in range(3)]
+    left = removed(spark, [f"{top}\n{x}\n{low}" for x in own])
+    for i in (1, 2):
+        assert own[i] in left[i] and len(left[i]) < len(own[i]) + 120
