@@ -9,6 +9,9 @@ ranked by (doc_id, start). All but the first ranked occurrence are repeats. Repe
 other in a document, with no other word between them, and have `least_words` words or more together are one span
 to remove, so that chance repeats of short units leave a text alone. Rests of lines join a run, but don't begin or end one.
 
+Whole lines of any length are units, too, with digests of their own: of shorter runs, the whole lines that are repeats are
+removed all the same. Lines under `unit_words` words are units as whole lines alone.
+
 Defined results: offsets are characters from 0 in the original text. Null and empty texts have no
 units. A null doc_id ranks last and is reported as null. Rows with the same doc_id and text are one
 document (their spans are reported once). An empty table gives an empty result. Extra columns are
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,8 @@ def signed(x: int) -> int:
 
 
 def units(text: str, unit_words: int = UNIT_WORDS):
-    """(digest, start, stop, words) of each unit, in order."""
+    """(digest, start, stop, words) of each unit, in order; whole lines have their words below 0, and those of
+    `unit_words` words or more come last."""
     words, begin, end, marks = [], [], [], []
     gap = unit_words - 1
     for m in _WORD.finditer(text):
@@ -70,8 +75,22 @@ def units(text: str, unit_words: int = UNIT_WORDS):
     first[1:] &= cut[:-1] | ~real[:-1]
     last[:-1] &= cut[:-1] | ~real[1:]
     digest = xxhash.xxh3_64_intdigest
+    def unit(a, b, whole):
+        d = digest(("\n" * whole + " ".join(words[a : b + 1])).lower().encode())
+        return signed(d), begin[a], end[b], a - b - 1 if whole else b - a + 1
+
+    lines, line = [], []
     for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist()):
-        yield signed(digest(" ".join(words[a : b + 1]).lower().encode())), begin[a], end[b], b - a + 1
+        line.append((a, b))
+        if b + 1 == n or marks[b + 1] == _NONE:
+            a = line[0][0]
+            if b - a + 1 < unit_words:
+                yield unit(a, b, True)
+            else:
+                yield from (unit(*x, False) for x in line)
+                lines.append((a, b))
+            line = []
+    yield from (unit(*x, True) for x in lines)
 
 
 @lru_cache(maxsize=1 << 17)
@@ -82,16 +101,28 @@ def _mark(word: str) -> int:
 def spans(rows: list[tuple], least_words: int = LEAST_WORDS, unit_words: int = UNIT_WORDS) -> list[tuple]:
     """rows (k, start, stop, words, kept_id, kept_start) of one document by k: its spans (start, length, words, kept_id, kept_start)."""
     out, run = [], []
+    cut = next((i for i in range(1, len(rows)) if rows[i][1] < rows[i - 1][2]), len(rows))  # from here on lines that have units in them
+    lines = {r[1]: r for r in rows[cut:]}
+
+    def add(part):
+        r = lines.get(part[0][1], part[0])
+        out.append((r[1], part[-1][2] - r[1], sum(abs(x[3]) for x in part), r[4], r[5]))
 
     def close():
-        while run and run[0][3] < unit_words:
-            run.pop(0)
-        while run and run[-1][3] < unit_words:
-            run.pop()
-        if run and (words := sum(r[3] for r in run)) >= least_words:
-            out.append((run[0][1], run[-1][2] - run[0][1], words, run[0][4], run[0][5]))
-
-    for r in rows:
+        whole, stop = [], 0
+        for r in run:
+            stop = lines[r[1]][2] if r[1] in lines else stop
+            whole.append(r[3] < 0 or r[2] <= stop)
+        solid = [i for i, r in enumerate(run) if whole[i] or r[3] >= unit_words]
+        part = run[solid[0] : solid[-1] + 1] if solid else []
+        if sum(abs(r[3]) for r in part) >= least_words:
+            add(part)
+            return
+        for own, group in groupby(range(len(run)), whole.__getitem__):
+            if own:
+                add([run[i] for i in group])
+
+    for r in rows[:cut]:
         if run and r[0] != run[-1][0] + 1:
             close()
             run = []

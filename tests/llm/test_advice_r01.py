@@ -90,3 +90,30 @@ def test_unique_text_between_repeats_stays(spark):
     left = removed(spark, [f"{top}\n{x}\n{low}" for x in own])
     for i in (1, 2):
         assert own[i] in left[i] and len(left[i]) < len(own[i]) + 120
+
+
+def test_repeated_lines_of_any_length_go(spark):
+    rng = random.Random(6)
+    short, nine, verse = names(rng, 2), names(rng, 9), "\n".join(names(rng, 3) for _ in range(20))
+    own = [names(rng, 40) for _ in range(4)]
+    texts = [f"{x}\n{short}\n{x[::-1]}\n{nine}\n\n{nine.upper()}\n{x[::-2]}" for x in own[:2]] + [f"{own[2]}\n{verse}", f"{own[3]} {short}\n{verse}\nends"]
+    left = removed(spark, texts)
+    assert left == {0: texts[0].replace(nine.upper(), ""), 1: texts[1].replace(short, "").replace(f"{nine}\n\n{nine.upper()}", ""), 2: texts[2], 3: f"{own[3]} {short}\n\nends"}
+
+
+def test_lines_equal_line_dedup(spark):
+    """Brute force without units: every later occurrence of a whole line lies in a span, and nothing else does."""
+    rng = random.Random(7)
+    pool = [names(rng, rng.choice([1, 2, 3, 4, 5, 9, 19, 25])) for _ in range(12)]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.5 else names(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 12))) for _ in range(30)]
+    got = substring.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = {(r.doc_id, c) for r in got for c in range(r.start, r.start + r.length)}
+    seen, want = set(), set()
+    for i, text in enumerate(texts):
+        at = 0
+        for line in text.split("\n"):
+            if line in seen:
+                want |= {(i, c) for c in range(at, at + len(line))}
+            seen.add(line)
+            at += len(line) + 1
+    assert want == {(i, c) for i, c in gone if texts[i][c] != "\n"}
