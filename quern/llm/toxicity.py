@@ -3,8 +3,9 @@
 Texts are folded (case, accents, look-alike letters, digits and signs that stand for letters) and
 scanned once by an Aho-Corasick automaton that holds the lexicon and the exception phrases. A hit
 counts where its entry begins a word (stems) or is a whole word (words) and lies in no exception
-phrase. score = 1000 * (sum of weights) / words. A document is toxic where it has `min_hits` hits and
-a score of `threshold` at least.
+phrase. score = 1000 * (sum of weights) / words (runs without white space). A document is toxic where it has `min_hits`
+hits, or fewer that weigh as much as so many plain insults, and a score of `threshold` at least. Signs at a
+word's edge or doubled (@sshole, a$$) may be letters or punctuation: such a text is scanned once more with them folded.
 
 The lexicon is a curated list and, with labels, entries learned from a sample of at most
 `sample_rows` labelled documents (smoothed log-odds of the token rate in toxic against other texts).
@@ -52,6 +53,7 @@ _SAME["b"] += "8"
 _WIDE = {ord(c): a for a, cs in _SAME.items() for c in cs if ord(c) > 255}
 _WIDE |= {ord(chr(k).upper()): v for k, v in list(_WIDE.items()) if len(chr(k).upper()) == 1}
 _MARKS = re.compile(rb"(?<=\w)[@$!|](?=\w)")
+_EDGES = re.compile(rb"(?<=[\w\x80-\xff])[@$!|]+|[@$!|]+(?=[\w\x80-\xff])")
 
 
 def _table() -> bytes:
@@ -71,14 +73,16 @@ _TABLE = _table()
 _SIGNS = {b"@": b"a", b"$": b"s", b"!": b"i", b"|": b"i"}
 
 
-def fold(text: str) -> str:
-    """Case, accents, look-alikes, digits: one byte table where the text is Latin-1, else a slower path."""
+def fold(text: str, edges: bool = False) -> str:
+    """Case, accents, look-alikes, digits: one byte table where the text is Latin-1, else a slower path.
+    edges: signs that touch a letter on one side, or another such sign, are letters as well."""
     try:
         b = text.encode("latin-1")
     except UnicodeEncodeError:
         b = unicodedata.normalize("NFKC", text).translate(_WIDE).encode("latin-1", "replace")
     if any(m in b for m in _SIGNS):
-        b = _MARKS.sub(lambda m: _SIGNS[m[0]], b)
+        marks = _EDGES if edges else _MARKS
+        b = marks.sub(lambda m: b"".join(_SIGNS[m[0][i : i + 1]] for i in range(len(m[0]))), b)
     return b.translate(_TABLE).decode("latin-1")
 
 
@@ -91,6 +95,9 @@ class Lexicon:
     threshold: float = 4.0
     min_hits: int = 2
 
+    def enough(self, weights: float, hits: int) -> bool:
+        return hits >= self.min_hits or weights >= max(1, self.min_hits)
+
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for text, weight, whole in self.entries:
@@ -110,18 +117,21 @@ def measure(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float,
     """(sum of weights, hits, words) of one text."""
     if not text:
         return 0.0, 0, 0
-    words = text.count(" ") + text.count("\n") + 1
+    words = len(text.split())
     if not len(automaton):
         return 0.0, 0, words
-    folded = fold(text)
-    found, free, n = [], [], len(folded)
-    for end, (size, weight, whole) in automaton.iter(folded):
-        begin = end - size + 1
-        if begin and folded[begin - 1].isalpha():
-            continue
-        if whole is not False and end + 1 < n and folded[end + 1].isalpha():
-            continue
-        (free if whole is None else found).append((begin, end, weight))
+    folds = [fold(text)]
+    if any(m in text for m in "@$!|＠＄！｜") and (other := fold(text, True)) != folds[0]:
+        folds.append(other)
+    found, free, n = [], [], len(folds[0])
+    for folded in folds:
+        for end, (size, weight, whole) in automaton.iter(folded):
+            begin = end - size + 1
+            if begin and folded[begin - 1].isalpha():
+                continue
+            if whole is not False and end + 1 < n and folded[end + 1].isalpha():
+                continue
+            (free if whole is None else found).append((begin, end, weight))
     if free:
         found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in free)]
     best: dict[int, float] = {}  # entries that begin at the same place count once, by the highest weight
@@ -188,7 +198,7 @@ def learn(texts: list[str], toxic: list[int], *, least: int = 6, odds: float = 1
         entries[stem] = (stem, round(min(2.0, weight / 3), 4), whole and stem in entries)
     lexicon = Lexicon(tuple(sorted(entries.values())), base.exceptions, base.threshold, base.min_hits)
     automaton = lexicon.automaton()
-    scored = sorted(((1000 * s / max(1, w) if n >= base.min_hits else 0.0, y) for (t, y) in use for s, n, w in [measure(t, automaton)]), reverse=True)
+    scored = sorted(((1000 * s / max(1, w) if base.enough(s, n) else 0.0, y) for (t, y) in use for s, n, w in [measure(t, automaton)]), reverse=True)
     positives, hit, best, at = sum(y for _, y in scored), 0, 0.0, base.threshold
     for i, (s, y) in enumerate(scored):
         hit += y
@@ -220,7 +230,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in slices(batches, "t"):
             got = [measure(t, automaton) for t in b.column(1).to_pylist()]
             scores = [1000.0 * s / w if w else 0.0 for s, _, w in got]
-            flags = [n >= lexicon.min_hits and x >= lexicon.threshold for (_, n, _), x in zip(got, scores)]
+            flags = [lexicon.enough(s, n) and x >= lexicon.threshold for (s, n, _), x in zip(got, scores)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(flags, pa.bool_()), pa.array(scores, pa.float64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([w for _, _, w in got], pa.int64())],
                 names=["doc_id", "toxic", "score", "hits", "words"],
@@ -239,7 +249,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             mask = []
             for t in b.column(at).to_pylist():
                 s, n, w = measure(t, automaton)
-                mask.append(not (n >= lexicon.min_hits and 1000.0 * s / w >= lexicon.threshold))
+                mask.append(not (lexicon.enough(s, n) and 1000.0 * s / max(1, w) >= lexicon.threshold))
             yield b.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

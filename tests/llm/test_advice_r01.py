@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import automaton as am
-from quern.llm import secrets, substring
+from quern.llm import secrets, substring, toxicity
 
 # secrets
 
@@ -117,3 +117,18 @@ def test_lines_equal_line_dedup(spark):
             seen.add(line)
             at += len(line) + 1
     assert want == {(i, c) for i, c in gone if texts[i][c] != "\n"}
+
+
+# toxicity
+
+
+def test_toxic_texts_stay_toxic(spark):
+    lex = toxicity.base_lexicon()
+    a = lex.automaton()
+    for word in ("a$$hole", "@sshole", "$lut", "dumba$$", "asshole!", "!!idiot!!", "b!tch"):
+        assert toxicity.measure(f"what a {word} it is", a)[1] == 1, word
+    assert toxicity.measure("you idiot,\n\n   " + " " * 90 + "you moron", a) == (2.0, 2, 4)
+    texts = ["you are a faggot", "you are a clown", "you idiot" + " " * 900 + "moron", "a fine day!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in toxicity.score(df, lex).where("toxic").collect()} == {0, 2}
+    assert {r.doc_id for r in toxicity.keep_clean(df, lex).collect()} == {1, 3}
