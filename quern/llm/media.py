@@ -259,7 +259,7 @@ FORMATS = (
     (b"\x1a\x45\xdf\xa3", 0, _ebml, False),
 )
 _URI = re.compile(rb"data:([\w.+-]+/[\w.+-]+)?(?:;[\w=.-]+)*;base64,([A-Za-z0-9+/\s]+={0,2})")
-_TEXTS = ((re.compile(rb"\s*(?:<!--.*?-->\s*)*<(?:!doctype\s+html|html|head|body)\b", re.I | re.S), "text/html"), (re.compile(rb"\s*(?:<\?xml[^>]*>\s*)?(?:<!doctype[^>]*>\s*)?<svg\b", re.I), "image/svg+xml"), (re.compile(rb"\s*<\?xml\b", re.I), "application/xml"))
+_TEXTS = ((re.compile(rb"\s*+(?:<!--(?>.*?-->)\s*+)*+<(?:!doctype\s++html|html|head|body)\b", re.I | re.S), "text/html"), (re.compile(rb"\s*+(?:<\?xml[^>]*+>\s*+)?+(?:<!--(?>.*?-->)\s*+)*+(?:<!doctype[^>]*+>\s*+)?+(?:<!--(?>.*?-->)\s*+)*+<svg\b", re.I | re.S), "image/svg+xml"), (re.compile(rb"\s*+<\?xml\b", re.I), "application/xml"))
 _CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1a\x1c-\x1f]")
 
 
@@ -311,7 +311,7 @@ def sniff(data: bytes, a: ahocorasick.Automaton) -> tuple[str, bool, list[tuple[
     if root:
         kind = root[2]
     else:
-        kind = next((t for p, t in _TEXTS if p.match(data[:4096])), None)
+        kind = next((t for p, t in _TEXTS if p.match(data)), None)
         if kind is None:
             try:
                 data.decode()

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import automaton as am
-from quern.llm import secrets, substring, toxicity
+from quern.llm import media, secrets, substring, toxicity
 
 # secrets
 
@@ -132,3 +132,15 @@ def test_toxic_texts_stay_toxic(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in toxicity.score(df, lex).where("toxic").collect()} == {0, 2}
     assert {r.doc_id for r in toxicity.keep_clean(df, lex).collect()} == {1, 3}
+
+
+# media
+
+
+def test_text_type_behind_long_comments():
+    a = media.automaton()
+    for before in (b"\n" * 5000, b"<!--" + b"x - " * 2000 + b"-->\n", b"<!-- a -->\n" * 3000):
+        for start, kind in ((b"<!DOCTYPE html><p>x", "text/html"), (b"<svg><g/></svg>", "image/svg+xml")):
+            assert media.sniff(before + start, a)[0] == kind
+    assert media.sniff(b" " * 5000 + b"<?xml version='1.0'?><a/>", a)[0] == "application/xml"
+    assert media.sniff(b"<!-- a -->\n" * 200_000 + b"plain", a)[0] == "text/plain" == media.sniff(b"<!--" * 200_000, a)[0]
