@@ -85,70 +85,105 @@ def spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = WEIGHTS[raw[:-1], raw[1:]].astype(np.int16)
-    at = np.arange(n - 1)
-    room = ends[:-1] - at
+    two = np.flatnonzero(ends[:-1] - np.arange(n - 1) >= 2)
+    three = two[ends[two] - two >= 3]
+    s, m = _longer(raw, ends, three)
+    return np.concatenate([two, three, s]), np.concatenate([np.full(len(two), 2), np.full(len(three), 3), m])
+
+
+def _longer(raw: np.ndarray, ends: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the n-grams of four bytes and more. three: where three bytes begin that lie in one text."""
+    w = WEIGHTS[raw[:-1], raw[1:]].astype(np.uint8)
+    kept = w[three] > w[np.minimum(three + 1, len(w) - 1)]
+    at = three[kept].astype(np.int32)
+    outer, inside = w[at], w[at + 1]
+    room = (ends[at] - at).astype(np.int32)
     starts, lengths = [], []
-    alive = at[room >= 2]
-    inside = np.zeros(len(alive), np.int16)
-    for size in range(2, LONGEST + 1):
-        keep = room[alive] >= size
-        if size > 3:
-            last = np.where(keep, alive + size - 3, 0)
-            inside = np.maximum(inside, w[last])
-            keep &= inside < w[alive]
-        alive, inside = alive[keep], inside[keep]
-        if not len(alive):
+    for size in range(4, LONGEST + 1):  # inside: the most of the pairs between; it stays below the first pair
+        keep = room >= size
+        at, outer, inside, room = at[keep], outer[keep], inside[keep], room[keep]
+        if not len(at):
             break
-        ok = alive if size <= 3 else alive[inside < w[alive + size - 2]]
+        last = w[at + (size - 2)]
+        ok = at[inside < last]
         starts.append(ok)
-        lengths.append(np.full(len(ok), size))
-    return np.concatenate(starts), np.concatenate(lengths)
+        lengths.append(np.full(len(ok), size, np.int32))
+        inside = np.maximum(inside, last)
+        keep = inside < outer
+        at, outer, inside, room = at[keep], outer[keep], inside[keep], room[keep]
+    empty = [np.zeros(0, np.int32)]
+    return np.concatenate(starts or empty).astype(np.int64), np.concatenate(lengths or empty).astype(np.int64)
 
 
 def _hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U)
     np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)], out=sums[1:])
-    return _mix((sums[start + length] - sums[start]) * down[start] + _mix(length.astype(U))).view(np.int64)
+    return _mix((sums[start + length] - sums[start]) * down[start] + _mix(length.astype(U)))
 
 
-def all_spans(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of each n-gram of the bytes, by start and end."""
-    raw = np.frombuffer(data, np.uint8)
-    s, n = spans(raw, np.full(len(raw), len(raw)))
-    return sorted(zip(s.tolist(), (s + n).tolist()))
+#: A gram's key is of 48 bits. Two grams of one key only make a document a candidate in vain.
+_BITS, MOST_ROWS = 16, 1 << 16
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct n-grams of each value of a binary column."""
+def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the distinct n-grams of each value of a binary column of at most MOST_ROWS values, by key and row."""
+    if len(column) > MOST_ROWS:
+        raise ValueError("too many values at once")
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     low, n = int(offsets[0]), int(offsets[-1] - offsets[0])
-    if not n:
+    if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     offsets = offsets - low
     raw = np.frombuffer(data, np.uint8)[low : low + n]
     size = np.diff(offsets)
-    s, m = spans(raw, np.repeat(offsets[1:], size))
-    row = np.repeat(np.arange(len(column)), size)[s]
-    h = _hashes(raw, s, m)
-    # rows of spans are in order for each length: sort by hash and then, stably, by row (16-bit keys sort by radix)
-    order = np.argsort(h)
-    if len(column) < 1 << 16:
-        order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
-    else:
-        order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[first], h[first]
+    row = np.repeat(np.arange(len(column), dtype=np.uint16), size)
+    ends = np.repeat(offsets[1:], size)
+    two = np.flatnonzero(row[:-1] == row[1:])
+    three = two[ends[two] - two >= 3]
+    code = raw[:-1].astype(np.uint32) << 8 | raw[1:]
+    s, m = _longer(raw, ends, three)
+    parts = ((two, _short(2)[code[two]]), (three, _mix(code[three].astype(U) << U(8) | raw[three + 2] | U(3 << 32))), (s, _hashes(raw, s, m)))
+    mask = U(((1 << 48) - 1) << _BITS)
+    both = np.concatenate([h & mask | row[at] for at, h in parts])
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return (both >> U(_BITS)).astype(np.int64), (both & U(MOST_ROWS - 1)).astype(np.int64)
+
+
+_PAIRS: list[np.ndarray] = []
+
+
+def _short(size: int) -> np.ndarray:
+    """The hashes of all pairs of bytes."""
+    if not _PAIRS:
+        _PAIRS.append(_mix(np.arange(65536, dtype=U) | U(size << 32)))
+    return _PAIRS[0]
+
+
+def all_spans(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of each n-gram of the bytes, by start and end."""
+    raw = np.frombuffer(data, np.uint8)
+    s, n = spans(raw, np.full(len(raw), len(raw)))
+    return sorted(zip(s.tolist(), (s + n).tolist()))
+
+
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the distinct n-grams of each value of a binary column, by row and key."""
+    key, row = packed(column)
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
 
 
 def key(gram: bytes) -> int:
     raw = np.frombuffer(gram, np.uint8)
-    return int(_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
+    if len(raw) <= 3:
+        h = int(_mix(np.array([int.from_bytes(gram) | len(raw) << 32], U))[0])
+    else:
+        h = int(_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
+    return h >> _BITS
 
 
 def cover(data: bytes) -> list[bytes]:

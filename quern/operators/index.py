@@ -1,159 +1,228 @@
 """The inverted n-gram index: build, look up, update, status.
 
-    <root>/CURRENT                    the name of the current state
-    <root>/state-<id>.json            which folders make it up, and its counts
-    <root>/gen-<id>/postings, files   the base: (gram, file_id) sorted by gram, and the manifest
-    <root>/over-<id>/...              an overlay with tombstones
-
-A state is switched by one replacement of CURRENT, so readers see the old one or the new one. The index
-only narrows down what is searched: results equal those of a scan. root is a path that the driver and
-the executors share.
+    <root>/state-<n>.json           the states; the highest n counts
+    <root>/after-<n>                who may write the state that follows n
+    <root>/gen-<id>/files           the base's manifest
+    <root>/gen-<id>/postings        (gram, shard, docs, paths, origins), see extract()
+    <root>/over-<id>/...            an overlay, with its changes
+
+A shard is some megabytes of neighbouring texts. Each of its n-grams has one row with the places in the shard of the
+texts that have it, by n-gram, so building shuffles no texts and a frequent n-gram costs a row per shard, not one per
+text. A lookup scans with n-grams pushed down to the pages, meets by shard, and ends in places that the shard's head
+row (gram -1) turns into paths.
+
+A writer adds the state that follows the one it began from, or fails with Conflict; nothing is held while it works,
+so one that dies blocks nobody. root may be any path that Spark can write to. The index only narrows down what is
+searched: results equal those of a scan.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 import uuid
 import warnings
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ngram
 from quern.operators import search as se
 from quern.plans import boolplan
-
-VERSION, STALE_SECONDS = 1, 24 * 3600
+from quern.sources.shared import Folder
+
+VERSION, STALE_SECONDS = 2, 24 * 3600
+#: Bytes of text to a shard. Inputs that Spark estimates below SPREAD are spread over all cores first, as a file of one row group is one task.
+SHARD, SPREAD = 8 << 20, 1 << 30
+#: Candidates up to FEW go into the scan as a list; n-grams in more than 1 / COMMON of the files (and in LEAST_COMMON at least) aren't looked up.
+FEW, COMMON, LEAST_COMMON = 2000, 4, 64
+HEAD = -1
+_POSTINGS = "gram long, shard long, docs array<int>, paths array<string>, origins array<string>"
+CLAIM_SECONDS = 60
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster; nothing was changed."""
+
+
+def _texts(batches):
+    """Slices of about SHARD bytes of the batches' binary second column, null rows left out; slices run over batches."""
+    kept, total = [], 0
+    for b in batches:
+        size = np.diff(np.frombuffer(b.column(1).cast(pa.large_binary()).buffers()[1], np.int64)[b.column(1).offset :][: b.num_rows + 1]) if b.num_rows else np.zeros(0, np.int64)
+        begin = 0
+        for i, n in enumerate(size.tolist()):
+            if total and (total + n > SHARD or sum(len(x) for x in kept) + i - begin >= ngram.MOST_ROWS):
+                yield [*kept, b.slice(begin, i - begin)]
+                kept, total, begin = [], 0, i
+            total += n
+        if begin < b.num_rows:
+            kept.append(b.slice(begin))
+    if kept:
+        yield kept
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(gram, file_id): the distinct n-grams of each text of (file_id, content)."""
+    """(file_id, gram): the distinct n-grams of each text of (file_id, content)."""
 
     def run(batches):
-        for b in batches:
-            size, begin, total = b.column(1), 0, 0
-            for i in range(b.num_rows + 1):
-                if i == b.num_rows or (total and total + len(size[i].as_buffer() or b"") > 4 << 20):
-                    if i > begin:
-                        row, h = ngram.grams(size.slice(begin, i - begin))
-                        ids = b.column(0).slice(begin, i - begin).to_numpy()
-                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row])], names=["gram", "file_id"])
-                    begin, total = i, 0
-                if i < b.num_rows and size[i].is_valid:
-                    total += len(size[i].as_buffer())
+        for part in _texts(batches):
+            t = pa.Table.from_batches(part).combine_chunks()
+            row, key = ngram.grams(t.column(1).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t.column(0).to_numpy()[row])], names=["gram", "file_id"])
 
     return files.select("file_id", F.col("content").cast("binary").alias("content")).where("content is not null").mapInArrow(run, "gram long, file_id long")
 
 
-def manifest(corpus: DataFrame, limit: int = se.MAX_FILESIZE) -> DataFrame:
-    """(file_id, file_path, size, mtime, digest, skipped, content): one row per path; ids are hashes of paths."""
-    mtime = F.col("mtime").cast("long") if "mtime" in corpus.columns else F.lit(0).cast("long")
+def _shards(batches):
+    """(file_path, content, origin) to rows of _POSTINGS: per shard a head and one row for each n-gram."""
+    names = [x.split()[0] for x in _POSTINGS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+    for part in _texts(batches):
+        t = pa.Table.from_batches(part).combine_chunks()
+        paths, origins = t.column(0).to_pylist(), t.column(2).to_pylist()
+        key, row = ngram.packed(t.column(1).combine_chunks())
+        shard = xxhash.xxh3_64_intdigest(key.tobytes(), xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [None], [paths], [origins]), types)], names=names)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        edge = np.append(first, len(key))
+        for s in range(0, len(first), 1 << 17):
+            e = min(s + (1 << 17), len(first))
+            docs = pa.ListArray.from_arrays(pa.array((edge[s : e + 1] - edge[s]).astype(np.int32)), pa.array(row[edge[s] : edge[e]].astype(np.int32)))
+            none = [pa.nulls(e - s, k) for k in types[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first[s:e]]), pa.array(np.full(e - s, shard)), docs, *none], names=names)
+
+
+def manifest(corpus: DataFrame) -> DataFrame:
+    """(file_id, file_path, size, mtime, digest, skipped, origin, content): one row per path; ids are hashes of paths.
+    Nulls are no files. Binary content with a NUL early on is skipped, as a scan skips it; texts of any size aren't."""
+    mtime = F.col("mtime").cast("long") if "mtime" in corpus.columns else F.lit(None).cast("long")
+    origin = F.col("origin") if "origin" in corpus.columns else F.lit(None).cast("string")
+    binary = dict(corpus.dtypes)["content"] == "binary"
     content = F.col("content").cast("binary")
-    size = F.octet_length(content).cast("long")
     return corpus.where(content.isNotNull()).select(
-        F.xxhash64("file_path").alias("file_id"), "file_path", size.alias("size"), mtime.alias("mtime"), F.xxhash64(content).alias("digest"),
-        ((size > limit) | se.is_binary(content)).alias("skipped"), content.alias("content"),
+        F.xxhash64("file_path").alias("file_id"), "file_path", F.octet_length(content).cast("long").alias("size"), mtime.alias("mtime"), F.xxhash64(content).alias("digest"),
+        (se.is_binary(content) if binary else F.lit(False)).alias("skipped"), origin.alias("origin"), content.alias("content"),
     )
 
 
-def _write(rows: DataFrame, folder: str) -> tuple[int, int]:
-    """Writes files and postings; how many files and distinct n-grams."""
-    rows.drop("content").write.parquet(f"{folder}/files")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grams = extract(rows.where(~F.col("skipped")))
-    # n-gram hashes are uniform, so equal ranges of them need no sampling pass over the texts
-    part = F.floor((F.shiftright("gram", 32) + (1 << 31)) * parts / (1 << 32)).cast("int")
-    grams.repartitionById(parts, part).sortWithinPartitions("gram", "file_id").write.parquet(f"{folder}/postings")
-    got = rows.sparkSession.read.parquet(f"{folder}/postings").agg(F.count_distinct("gram")).first()[0]
-    return rows.sparkSession.read.parquet(f"{folder}/files").where(~F.col("skipped")).count(), got
-
-
-def _switch(root: str, state: dict) -> None:
-    name = f"state-{state['id']}.json"
-    with open(f"{root}/{name}", "w") as f:
-        json.dump(state, f)
-    part = f"{root}/CURRENT.{uuid.uuid4().hex}"
-    with open(part, "w") as f:
-        f.write(name)
-    os.replace(part, f"{root}/CURRENT")
-
+def _spread(corpus: DataFrame) -> DataFrame:
+    """A small input over all cores: its texts in one file of one row group would be one task."""
+    spark = corpus.sparkSession
+    estimate = corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return corpus.repartition(spark.sparkContext.defaultParallelism) if int(str(estimate)) < SPREAD else corpus
 
-class _Lock:
-    """One writer at a time."""
 
-    def __init__(self, root: str):
-        os.makedirs(root, exist_ok=True)
-        self.path = f"{root}/LOCK"
+def _write(rows: DataFrame, folder: str) -> dict:
+    """Writes files and postings; how many files and distinct n-grams, and the common ones."""
+    spark = rows.sparkSession
+    rows.drop("content").write.parquet(f"{folder}/files")
+    rows.where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.parquet(f"{folder}/postings")
+    files = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).count()
+    least = max(LEAST_COMMON, files // COMMON)
+    grams = spark.read.parquet(f"{folder}/postings").where(F.col("gram") != HEAD).groupBy("gram").agg(F.sum(F.size("docs")).alias("n"))
+    # a text has so many n-grams, so those in a quarter of all texts are few, whatever the number of texts
+    got = grams.agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("n") > least, F.col("gram"))).alias("common")).first()
+    return {"folder": folder.rsplit("/", 1)[-1], "files": files, "grams": got.n, "common": sorted(got.common)}
+
+
+def current(root: str, spark: SparkSession | None = None) -> dict | None:
+    """The state that counts, or None where there is no index."""
+    folder = Folder(spark or SparkSession.active(), root)
+    states = [x for x in folder.names() if x.startswith("state-")]
+    return json.loads(folder.read(max(states))) if states else None
+
+
+def _commit(spark: SparkSession, root: str, state: dict, before: dict | None) -> dict:
+    folder, parent = Folder(spark, root), before["number"] if before else 0
+    claim = f"after-{parent:012d}"
+    if not folder.claim(claim):
+        newest = current(root, spark)
+        if (newest["number"] if newest else 0) != parent or folder.age(claim) < CLAIM_SECONDS:
+            raise Conflict(f"another writer follows state {parent} of {root}")
+        folder.delete(claim)  # its writer died between claim and state
+        if not folder.claim(claim):
+            raise Conflict(f"another writer follows state {parent} of {root}")
+    newest = current(root, spark)
+    if (newest["number"] if newest else 0) != parent:
+        raise Conflict(f"another writer follows state {parent} of {root}")
+    state["number"] = parent + 1
+    folder.write(f"state-{parent + 1:012d}.json", json.dumps(state))
+    return state
 
-    def __enter__(self):
-        try:
-            os.close(os.open(self.path, os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise RuntimeError(f"another writer holds {self.path}") from None
 
-    def __exit__(self, *_):
-        os.unlink(self.path)
+def build(corpus: DataFrame, root: str, commit: str | None = None) -> dict:
+    spark, before = corpus.sparkSession, current(root, corpus.sparkSession)
+    base = _write(manifest(_spread(corpus)), f"{root}/gen-{uuid.uuid4().hex}")
+    return _commit(spark, root, {"version": VERSION, "time": time.time(), "commit": commit, "base": base, "overlay": None, "tombstones": 0}, before)
 
 
-def current(root: str) -> dict | None:
-    try:
-        with open(f"{root}/CURRENT") as f, open(f"{root}/{f.read().strip()}") as g:
-            return json.load(g)
-    except FileNotFoundError:
-        return None
+def branch(spark: SparkSession, root: str, to: str) -> dict:
+    """A second index on the base of the first, of which nothing is copied; the first one's base must stay."""
+    state = current(root, spark)
+    base = state["base"] | {"folder": state["base"]["folder"] if "/" in state["base"]["folder"] else f"{root}/{state['base']['folder']}"}
+    return _commit(spark, to, state | {"base": base, "overlay": None, "tombstones": 0}, current(to, spark))
 
 
-def build(corpus: DataFrame, root: str, commit: str | None = None) -> dict:
-    with _Lock(root):
-        state = {"id": uuid.uuid4().hex, "version": VERSION, "time": time.time(), "commit": commit, "base": f"gen-{uuid.uuid4().hex}", "overlay": None, "tombstones": 0, "overlay_files": 0, "overlay_grams": 0}
-        state["files"], state["grams"] = _write(manifest(corpus), f"{root}/{state['base']}")
-        _switch(root, state)
-        return state
-
-
-def copy(root: str, to: str) -> dict:
-    """A second index with the same base, e.g. to try an update on."""
-    state = current(root)
-    with _Lock(to):
-        shutil.copytree(f"{root}/{state['base']}", f"{to}/{state['base']}")
-        state |= {"id": uuid.uuid4().hex, "overlay": None, "tombstones": 0, "overlay_files": 0, "overlay_grams": 0}
-        _switch(to, state)
-    return state
+def _folder(root: str, part: dict) -> str:
+    return part["folder"] if "/" in part["folder"] else f"{root}/{part['folder']}"
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file_path, change): added, changed or deleted, by size, time and content."""
+    """(file_path, change): added, changed or deleted. Files of equal size whose times are known and equal are the
+    same; where a time isn't known, digests decide."""
     a = old.select("file_path", F.struct("size", "mtime", "digest").alias("was"))
     b = new.select("file_path", F.struct("size", "mtime", "digest").alias("is"))
-    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "deleted").when(F.col("was") != F.col("is"), "changed")
+    timed = F.col("was.mtime").isNotNull() & F.col("is.mtime").isNotNull()
+    same = (F.col("was.size") == F.col("is.size")) & F.when(timed, F.col("was.mtime") == F.col("is.mtime")).otherwise(F.coalesce(F.col("was.digest") == F.col("is.digest"), F.lit(False)))
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "deleted").when(~same, "changed")
     return a.join(b, "file_path", "full_outer").select("file_path", kind.alias("change")).where("change is not null")
 
 
-def update(corpus: DataFrame, root: str) -> dict:
-    """Makes the overlay anew from what differs from the base; without a base builds one."""
-    state = current(root)
-    if state is None:
-        return build(corpus, root)
+def update(corpus: DataFrame, root: str, listing: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, commit: str | None = None) -> dict:
+    """Makes the overlay anew from what differs from the base; without a base builds one.
+
+    With `listing` (file_path, size, mtime) no text is read to find what differs, and `fetch` reads the texts of the
+    paths that do. Otherwise the corpus is compared: by its columns `size` and `mtime` where it has both (no text is
+    read then, either), else by digests of all texts."""
     spark = corpus.sparkSession
-    with _Lock(root):
+    before = current(root, spark)
+    if before is None or before.get("version") != VERSION:
+        return build(corpus, root, commit)
+    if listing is None and {"size", "mtime"} <= set(corpus.columns):
+        listing = corpus.where("content is not null").select("file_path", "size", "mtime")
+    base = spark.read.parquet(f"{_folder(root, before['base'])}/files")
+    if listing is None:
         new = manifest(corpus)
-        diff = changes(spark.read.parquet(f"{root}/{state['base']}/files"), new)
-        folder = f"over-{uuid.uuid4().hex}"
-        diff.write.parquet(f"{root}/{folder}/changes")
-        diff = spark.read.parquet(f"{root}/{folder}/changes")
-        counts = dict(diff.groupBy("change").count().collect())
-        state |= {"id": uuid.uuid4().hex, "time": time.time(), "overlay": None, "tombstones": 0, "overlay_files": 0, "overlay_grams": 0}
-        if counts:
-            state["overlay"] = folder
-            state["tombstones"] = counts.get("changed", 0) + counts.get("deleted", 0)
-            fresh = new.join(diff.where("change != 'deleted'"), "file_path", "left_semi")
-            state["overlay_files"], state["overlay_grams"] = _write(fresh, f"{root}/{folder}")
-        _switch(root, state)
-        return state
+    else:
+        new = listing.select("file_path", F.col("size").cast("long").alias("size"), F.col("mtime").cast("long").alias("mtime"), F.lit(None).cast("long").alias("digest"))
+    folder = f"over-{uuid.uuid4().hex}"
+    changes(base, new).write.parquet(f"{root}/{folder}/changes")
+    diff = spark.read.parquet(f"{root}/{folder}/changes")
+    counts = dict(diff.groupBy("change").count().collect())
+    state = before | {"time": time.time(), "overlay": None, "tombstones": 0, "commit": commit or before.get("commit")}
+    if counts:
+        state["tombstones"] = counts.get("changed", 0) + counts.get("deleted", 0)
+        fresh = diff.where("change != 'deleted'").select("file_path")
+        state["overlay"] = _write(manifest(fetch(fresh) if fetch else corpus.join(fresh, "file_path", "left_semi")), f"{root}/{folder}")
+    return _commit(spark, root, state, before)
+
+
+def vacuum(spark: SparkSession, root: str, older_than: float = 3600) -> list[str]:
+    """Deletes states, claims and folders that the current state doesn't need and that are `older_than` seconds old
+    (readers and writers may still be at work on younger ones); their names."""
+    state, folder = current(root, spark), Folder(spark, root)
+    if state is None:
+        return []
+    own = {f"state-{state['number']:012d}.json", f"after-{state['number']:012d}", state["base"]["folder"], (state["overlay"] or {}).get("folder")}
+    gone = [n for n, at in folder.names().items() if n.startswith(("state-", "after-", "gen-", "over-", ".state-")) and n not in own and time.time() - at > older_than]
+    for n in gone:
+        folder.delete(n)
+    return sorted(gone)
 
 
 def age_label(seconds: float) -> str:
@@ -162,46 +231,96 @@ def age_label(seconds: float) -> str:
 
 
 def status(spark: SparkSession, root: str) -> DataFrame:
-    s = current(root)
+    s = current(root, spark)
     if s is None:
         raise FileNotFoundError(f"no index at {root}")
-    row = (s["version"], s["files"], s["grams"], s["overlay_files"], s["overlay_grams"], s["tombstones"], age_label(time.time() - s["time"]), (s["commit"] or "")[:7] or None)
+    over = s["overlay"] or {"files": 0, "grams": 0}
+    row = (s["version"], s["base"]["files"], s["base"]["grams"], over["files"], over["grams"], s["tombstones"], age_label(time.time() - s["time"]), (s["commit"] or "")[:7] or None)
     return spark.createDataFrame([row], "version int, files long, grams long, overlay_files long, overlay_grams long, tombstones long, age string, commit string")
 
 
-def ids_for(postings: DataFrame, plan: boolplan.Plan) -> DataFrame:
-    """(file_id) that the plan admits: one scan of the n-grams asked for and one aggregate."""
-    keys = plan.keys()
-    own = postings.where(F.col("gram").isin(keys))
-    bits = own.groupBy("file_id").agg(*[F.bool_or(F.col("gram") == k).alias(f"g{i}") for i, k in enumerate(keys)])
-    return bits.where(plan.column(lambda k: F.col(f"g{keys.index(k)}"))).select("file_id")
+def postings(spark: SparkSession, root: str, part: dict) -> DataFrame:
+    return spark.read.parquet(f"{_folder(root, part)}/postings")
 
 
-def candidates(spark: SparkSession, root: str, plan: boolplan.Plan) -> DataFrame:
-    """(file_id, file_path) of live files that the plan admits, from the base and the overlay."""
-    s = current(root)
+def ids_for(rows: DataFrame, plan: boolplan.Plan) -> DataFrame:
+    """(shard, docs): the places in each shard that the plan admits: one scan of the n-grams asked for and one aggregate."""
+    keys = plan.keys()
+    asked = F.col("gram").isin(keys)
+    if len(keys) > 10:  # longer lists are pushed down as a range
+        asked = F.col("gram") == keys[0]
+        for k in keys[1:]:
+            asked |= F.col("gram") == k
+    none = F.array().cast("array<int>")
+    lists = rows.where(asked).groupBy("shard").agg(*[F.coalesce(F.first(F.when(F.col("gram") == k, F.col("docs")), ignorenulls=True), none).alias(f"g{i}") for i, k in enumerate(keys)])
+
+    def column(p: boolplan.Plan):
+        if p.op == "lookup":
+            return F.col(f"g{keys.index(p.key)}")
+        out = column(p.parts[0])
+        for x in p.parts[1:]:
+            out = F.array_intersect(out, column(x)) if p.op == "and" else F.array_union(out, column(x))
+        return out
+
+    return lists.select("shard", column(plan).alias("docs")).where(F.size("docs") > 0)
+
+
+def _state(spark: SparkSession, root: str) -> dict:
+    s = current(root, spark)
     if s is None:
         raise FileNotFoundError(f"no index at {root}")
     if time.time() - s["time"] > STALE_SECONDS:
-        warnings.warn("the index is older than a day; update it", stacklevel=2)
+        warnings.warn("the index is older than a day; update it", stacklevel=3)
+    return s
 
-    def part(folder: str) -> DataFrame:
-        files = spark.read.parquet(f"{root}/{folder}/files").where(~F.col("skipped")).select("file_id", "file_path")
-        return files if plan.op == "scan" else files.join(ids_for(spark.read.parquet(f"{root}/{folder}/postings"), plan), "file_id", "left_semi")
+
+def candidates(spark: SparkSession, root: str, plan: boolplan.Plan) -> DataFrame:
+    """(file_path, origin) of live files that the plan admits, from the base and the overlay."""
+    return _candidates(spark, root, plan, _state(spark, root))
+
+
+def _candidates(spark: SparkSession, root: str, plan: boolplan.Plan, s: dict) -> DataFrame:
+    def part(p: dict) -> DataFrame:
+        rows = postings(spark, root, p)
+        heads = rows.where(F.col("gram") == HEAD).select(F.col("shard").alias("own"), "paths", "origins")
+        sure = plan.without(frozenset(p["common"]))
+        if sure.op == "scan":
+            return heads.select(F.explode(F.arrays_zip("paths", "origins")).alias("x")).select(F.col("x.paths").alias("file_path"), F.col("x.origins").alias("origin"))
+        got = ids_for(rows, sure).join(heads, F.col("shard") == F.col("own"))
+        at = F.explode(F.transform("docs", lambda i: F.struct(F.element_at("paths", i + 1).alias("file_path"), F.element_at("origins", i + 1).alias("origin"))))
+        return got.select(at.alias("x")).select("x.file_path", "x.origin")
 
     base = part(s["base"])
     if s["overlay"]:
-        dead = spark.read.parquet(f"{root}/{s['overlay']}/changes").where("change != 'added'").select("file_path")
-        base = base.join(dead, "file_path", "left_anti").select("file_id", "file_path").unionByName(part(s["overlay"]))
+        dead = spark.read.parquet(f"{_folder(root, s['overlay'])}/changes").where("change != 'added'").select("file_path")
+        base = base.join(dead, "file_path", "left_anti").select("file_path", "origin").unionByName(part(s["overlay"]))
     return base
 
 
-def search(corpus: DataFrame, root: str, pattern: str | list[str], options: se.SearchOptions | None = None, auto_index: bool = False) -> DataFrame:
-    """As search.search, on the texts that the index leaves over. auto_index builds a missing index."""
+def search(corpus: DataFrame, root: str, pattern: str | list[str], options: se.SearchOptions | None = None, auto_index: bool = False, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As search.search, on the texts that the index leaves over. auto_index builds a missing index.
+
+    `fetch` reads the texts of a DataFrame of paths (file trees). Otherwise up to FEW candidates go into the scan of
+    the corpus as a list, which comes before the pattern and prunes what `file_path` and `origin` let the source prune
+    (origin: a column of the corpus that names the file of a row, i.e. _metadata.file_path); more are joined."""
     o = options or se.SearchOptions()
-    if auto_index and current(root) is None:
+    spark = corpus.sparkSession
+    if auto_index and current(root, spark) is None:
         build(corpus, root)
     _, regex = se.effective(pattern, o)
+    state = _state(spark, root)
     plan = boolplan.build(regex)
-    left = corpus if plan.op == "scan" else corpus.join(candidates(corpus.sparkSession, root, plan).select("file_path"), "file_path", "left_semi")
-    return se.search(left, pattern, o)
+    if all(plan.without(frozenset(p["common"])).op == "scan" for p in (state["base"], state["overlay"]) if p):
+        return se.search(corpus, pattern, o)
+    found = _candidates(spark, root, plan, state)
+    if fetch:
+        return se.search(fetch(found), pattern, o)
+    few = found.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        left = corpus.where(F.col("file_path").isin([r.file_path for r in few]) if few else F.lit(False))
+        if few and "origin" in corpus.columns and all(r.origin for r in few):
+            left = left.where(F.col("origin").isin(sorted({r.origin for r in few})))
+        return se.search(left, pattern, o)
+    # a number that the optimiser can't move keeps the pattern behind the join
+    left = corpus.join(found.select("file_path"), "file_path", "left_semi").withColumn("quern__at", F.monotonically_increasing_id())
+    return se.search(left.where("quern__at >= 0"), pattern, o)

@@ -2,18 +2,24 @@
 
 Everything is columns: the text is split, lines are matched by rlike, offsets come from the matched
 prefix's bytes. content may be a string or binary; binary that has a NUL in its first 8,192 bytes is
-skipped, and bytes that aren't UTF-8 read as U+FFFD; offsets are always those of the bytes in the file.
+skipped, and bytes that aren't UTF-8 show as U+FFFD; offsets are always those of the bytes in the file.
+
+While a text that isn't UTF-8 is worked on, each stray byte stands in it as one private character (the first of
+a broken sequence at U+10FF00 + byte, others at U+10FE00 + byte), so that nothing is lost and offsets follow by
+counting. Such rows alone pass a Python function; the source is scanned once.
 """
 
 from __future__ import annotations
 
 import codecs
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import regex as rx
 from quern.functions.glob import glob_regex
@@ -31,7 +37,7 @@ class SearchOptions:
     file_type: str | None = None
     max_count: int | None = None
     context: int = 0
-    max_filesize: int = MAX_FILESIZE
+    max_filesize: int | None = None  # bytes; file trees have a limit of their own where they are read
 
 
 def effective(pattern: str | list[str], o: SearchOptions) -> tuple[str, rx.Regex]:
@@ -53,20 +59,74 @@ def binary_filter(df: DataFrame) -> DataFrame:
     return df.where(~is_binary(F.col("content").cast("binary")))
 
 
-def text_of(df: DataFrame) -> DataFrame:
-    """content as a valid string, without binary rows; string content is taken as it is."""
-    if dict(df.dtypes)["content"] == "binary":
-        df = binary_filter(df).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
-    return df.where(F.col("content").isNotNull())
+_STRAY, _NEXT = 0x10FF00, 0x10FE00
+_ODD = "[\\x{10FE80}-\\x{10FEFF}\\x{10FF80}-\\x{10FFFF}]"
 
 
-def filtered(df: DataFrame, o: SearchOptions) -> DataFrame:
-    """Size, glob and type filters, ahead of any text work."""
-    df = size_filter(df, o.max_filesize)
+def _note(e: UnicodeDecodeError):
+    bad = e.object[e.start : e.end]
+    return chr(_STRAY + bad[0]) + "".join(chr(_NEXT + b) for b in bad[1:]), e.end
+
+
+def escaped(raw: bytes) -> str:
+    """Bytes as a valid string, stray ones as private characters."""
+    codecs.register_error("quern_escape", _note)
+    return raw.decode("utf-8", "quern_escape")
+
+
+def unescaped(text: str) -> bytes:
+    """The bytes again."""
+    return re.sub("[\U0010fe80-\U0010feff\U0010ff80-\U0010ffff]", lambda m: chr(0xDC00 + (ord(m[0]) & 0xFF)), text).encode("utf-8", "surrogateescape")
+
+
+@F.pandas_udf(T.StringType())
+def _escape(raw: pd.Series) -> pd.Series:
+    return raw.map(escaped, na_action="ignore")
+
+
+def shown(text: str | Column, odd: str | Column | None) -> Column:
+    """A text as it is shown: one U+FFFD for each broken sequence."""
+    text = F.col(text) if isinstance(text, str) else text
+    if odd is None:
+        return text
+    lossy = F.regexp_replace(F.regexp_replace(text, "[\\x{10FE80}-\\x{10FEFF}]", ""), "[\\x{10FF80}-\\x{10FFFF}]", "\ufffd")
+    return F.when(F.col(odd) if isinstance(odd, str) else odd, lossy).otherwise(text)
+
+
+def in_file(prefix: Column, odd: str | None) -> Column:
+    """How many bytes of the file a piece of the text is."""
+    n = F.octet_length(prefix).cast("long")
+    return n if odd is None else F.when(F.col(odd), n - 3 * F.regexp_count(prefix, F.lit(_ODD))).otherwise(n)
+
+
+def text_of(df: DataFrame) -> tuple[DataFrame, str | None]:
+    """content as a valid string, without binary rows and nulls, and the name of a column that tells rows with
+    stray bytes (None where content is a string, which is taken as it is)."""
+    if dict(df.dtypes)["content"] != "binary":
+        return df.where(F.col("content").isNotNull()), None
+    df = binary_filter(df)
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    odd, text = "quern__odd", "quern__text"
+    df = df.withColumn(odd, ~valid).withColumn(text, _escape(F.when(F.col(odd), F.col("content"))))
+    return df.withColumn("content", F.coalesce(text, F.col("content").cast("string"))).drop(text), odd
+
+
+def admits(o: SearchOptions) -> list[Column]:
+    """Size, glob and type filters as predicates."""
+    out = []
+    if o.max_filesize is not None:
+        out.append(F.octet_length("content") <= o.max_filesize)
     if o.glob is not None:
-        df = df.where(F.col("file_path").rlike(glob_regex(o.glob)))
+        out.append(F.col("file_path").rlike(glob_regex(o.glob)))
     if o.file_type is not None:
-        df = df.where(extension("file_path") == o.file_type)
+        out.append(extension("file_path") == o.file_type)
+    return out
+
+
+def filtered(df: DataFrame, o: SearchOptions) -> DataFrame:
+    """Size, glob and type filters, ahead of any text work."""
+    for p in admits(o):
+        df = df.where(p)
     return df
 
 
@@ -77,7 +137,9 @@ def extension(path: str | Column) -> Column:
 
 def lines(df: DataFrame, keep: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """(…, line_number, line_content): pieces between line feeds, the last one even where it is empty."""
-    return text_of(df).select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("at", "line_content")).select(*keep, (F.col("at") + 1).cast("long").alias("line_number"), "line_content")
+    df, odd = text_of(df)
+    rows = df.select(*keep, *([odd] if odd else []), F.posexplode(F.split("content", "\n", -1)).alias("at", "line_content"))
+    return rows.select(*keep, (F.col("at") + 1).cast("long").alias("line_number"), shown("line_content", odd).alias("line_content"))
 
 
 def _bail(df: DataFrame, regex: rx.Regex) -> DataFrame:
@@ -87,93 +149,62 @@ def _bail(df: DataFrame, regex: rx.Regex) -> DataFrame:
     return df.where(F.col("content").rlike(regex.by_lines.java()))
 
 
-def offsets(line: str, regex: rx.Regex) -> tuple[Column, Column]:
+def offsets(line: str, regex: rx.Regex, odd: str | None = None) -> tuple[Column, Column]:
     """Byte offsets of the first match in a line that has one."""
     java = regex.java()
     flags, body = java[: java.index(")") + 1], java[java.index(")") + 1 :]
-    inner = flags.replace("(?", "(?").replace(")", ":") + body + ")"
-    start = F.octet_length(F.regexp_extract(line, rf"(?s:\A(.*?))(?:{inner})", 1)).cast("long")
-    return start, start + F.octet_length(F.regexp_extract(line, java, 0)).cast("long")
-
-
-def _in_file(lossy: list[int], raw: bytes) -> list[int]:
-    """Byte offsets of a line as it is shown, as offsets of its bytes in the file."""
-    bad: list[tuple[int, int]] = []
-
-    def note(e: UnicodeDecodeError):
-        bad.append((e.start, e.end))
-        return "\ufffd", e.end
-
-    codecs.register_error("quern_note", note)
-    raw.decode("utf-8", "quern_note")
-    out = []
-    for at in lossy:
-        extra = 0
-        for s, e in bad:
-            if s + extra + 3 > at:
-                break
-            extra += 3 - (e - s)
-        out.append(at - extra)
-    return out
-
-
-def _invalid(df: DataFrame, found: DataFrame) -> DataFrame:
-    """Gives matches in texts that aren't UTF-8 their offsets in the file. Only such rows come here."""
-    types = {f.name: f for f in found.schema.fields}
-    line = F.split(F.decode("content", "ISO-8859-1"), "\n", -1)
-    raw = df.select(F.col("file_path").alias("raw_path"), F.posexplode(line).alias("raw_at", "raw_line")).select("raw_path", (F.col("raw_at") + 1).cast("long").alias("raw_number"), F.encode("raw_line", "ISO-8859-1").alias("raw_line"))
-    rows = found.join(raw, (F.col("file_path") == F.col("raw_path")) & (F.col("line_number") == F.col("raw_number"))).drop("raw_path", "raw_number")
-
-    @F.pandas_udf("match_start long, match_end long")
-    def moved(start: pd.Series, end: pd.Series, raw_line: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_in_file([s, e], r) for s, e, r in zip(start, end, raw_line)], columns=["match_start", "match_end"])
-
-    rows = rows.withColumn("moved", moved("match_start", "match_end", "raw_line"))
-    return rows.select(*[F.col(f"moved.{c}").alias(c) if c in ("match_start", "match_end") else F.col(c) for c in types])
+    inner = flags.replace(")", ":") + body + ")"
+    start = in_file(F.regexp_extract(line, rf"(?s:\A(.*?))(?:{inner})", 1), odd)
+    return start, start + in_file(F.regexp_extract(line, java, 0), odd)
 
 
 def search(corpus: DataFrame, pattern: str | list[str], options: SearchOptions | None = None, **kw) -> DataFrame:
     """(file_path, line_number, line_content, match_start, match_end): one row per matching line, its first
-    match's byte offsets; with context > 0 also context_before and context_after."""
+    match's byte offsets; with context > 0 also context_before and context_after. The rows are in no order: see listed()."""
     o = replace(options or SearchOptions(), **kw)
-    if dict(corpus.dtypes)["content"] != "binary":
-        return _search(corpus, pattern, o)
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
-    odd = corpus.where(~ok)
-    return _search(corpus.where(ok), pattern, o).unionByName(_invalid(filtered(odd, o), _search(odd, pattern, o)))
-
-
-def _search(corpus: DataFrame, pattern: str | list[str], o: SearchOptions) -> DataFrame:
     one, regex = effective(pattern, o)
     kind = rx.kind(one) if isinstance(pattern, str) and not o.fixed else "normal"
-    df = text_of(filtered(corpus, o))
+    df, odd = text_of(filtered(corpus, o).select("file_path", "content"))
+    own = ["file_path", *([odd] if odd else [])]
     if kind not in ("all",):
         df = _bail(df, regex)
-    hit = F.lit(True) if kind == "all" else F.contains(F.col("line_content"), F.lit(one)) if kind == "char" and not o.ignore_case and not o.smart_case else F.col("line_content").rlike(regex.java())
-    start, end = offsets("line_content", regex)
-    out = [F.col("file_path"), F.col("line_number"), F.col("line_content"), start.alias("match_start"), end.alias("match_end")]
+    plain = kind == "char" and not o.ignore_case and not o.smart_case
+    hits = lambda text: F.contains(text, F.lit(one)) if plain else text.rlike(regex.java())
+    start, end = offsets("line_content", regex, odd)
+    out = [F.col("file_path"), F.col("line_number"), shown("line_content", odd).alias("line_content"), start.alias("match_start"), end.alias("match_end")]
     pieces = F.split("content", "\n", -1)
     if kind == "all":  # the empty piece after the last line feed is no line
         pieces = F.when(F.col("content") == "", F.array().cast("array<string>")).when(F.col("content").endswith("\n"), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
     if o.max_count is None and not o.context:
-        rows = df.select("file_path", F.posexplode(pieces).alias("at", "line_content")).select("file_path", (F.col("at") + 1).cast("long").alias("line_number"), "line_content")
-        return rows.where(hit).select(*out)
-    numbered = df.select("file_path", F.transform(pieces, lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text"))).alias("all"))
-    matched = F.col("all") if kind == "all" else F.filter("all", lambda x: F.contains(x["text"], F.lit(one)) if kind == "char" and not o.ignore_case and not o.smart_case else x["text"].rlike(regex.java()))
+        rows = df.select(*own, F.posexplode(pieces).alias("at", "line_content")).select(*own, (F.col("at") + 1).cast("long").alias("line_number"), "line_content")
+        return (rows if kind == "all" else rows.where(hits(F.col("line_content")))).select(*out)
+    numbered = df.select(*own, F.transform(pieces, lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text"))).alias("all"))
+    matched = F.col("all") if kind == "all" else F.filter("all", lambda x: hits(x["text"]))
     if o.max_count is not None:
         matched = F.slice(matched, F.lit(1), F.lit(o.max_count))
-    rows = numbered.select("file_path", "all", F.explode(matched).alias("m")).select("file_path", "all", F.col("m.line").alias("line_number"), F.col("m.text").alias("line_content"))
+    rows = numbered.select(*own, "all", F.explode(matched).alias("m")).select(*own, "all", F.col("m.line").alias("line_number"), F.col("m.text").alias("line_content"))
     if o.context:
         first = F.greatest(F.lit(1), F.col("line_number") - o.context).cast("int")
-        out.append(F.slice("all", first, F.col("line_number").cast("int") - first).alias("context_before"))
-        out.append(F.slice("all", (F.col("line_number") + 1).cast("int"), F.lit(o.context)).alias("context_after"))
+        around = lambda x: x if odd is None else F.transform(x, lambda y: F.struct(y["line"].alias("line"), shown(y["text"], F.col(odd)).alias("text")))
+        out.append(around(F.slice("all", first, F.col("line_number").cast("int") - first)).alias("context_before"))
+        out.append(around(F.slice("all", (F.col("line_number") + 1).cast("int"), F.lit(o.context))).alias("context_after"))
     return rows.select(*out)
 
 
+def listed(matches: DataFrame) -> DataFrame:
+    """The matches in the order of a listing: by path and line."""
+    return matches.orderBy("file_path", "line_number")
+
+
 def count_per_file(matches: DataFrame) -> DataFrame:
     return matches.groupBy("file_path").agg(F.count("*").alias("n_lines")).orderBy("file_path")
 
 
+def as_counts(matches: DataFrame) -> DataFrame:
+    """(file_path, line): path:count of the matching lines of each file that has one."""
+    return count_per_file(matches).select("file_path", F.concat_ws(":", "file_path", F.col("n_lines").cast("string")).alias("line"))
+
+
 def files_with_matches(matches: DataFrame) -> DataFrame:
     return matches.select("file_path").distinct().orderBy("file_path")
 
@@ -187,7 +218,8 @@ def total(matches: DataFrame) -> DataFrame:
 
 
 def as_text(matches: DataFrame) -> DataFrame:
-    """(file_path, line_number, line): path:line:content, and for context path-line-content, in the order of a listing."""
+    """(file_path, line_number, line): path:line:content, and for context path-line-content; in the order of
+    its input, so sort by listed() first where that matters."""
     head = F.concat_ws(":", "file_path", F.col("line_number").cast("string"), "line_content")
     if "context_before" not in matches.columns:
         return matches.select("file_path", "line_number", head.alias("line"))

@@ -2,20 +2,21 @@
 
 Each micro-batch compares the tree with the manifest that the last offset names, so created, rewritten and
 deleted files all show. Manifests are kept as files in the option `state`; an offset is the number of
-one, so that a batch can be read again after a failure. watch() updates an index from it.
+one, so that a batch can be read again after a failure. watch() updates an index from it. The tree and the
+state lie at one path for the driver and the executors, as `quern_files` asks.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from quern.operators import index
-from quern.sources.corpus import read, walk
+from quern.sources.corpus import MAX_FILESIZE, shown, walk
 
 SCHEMA = "file_path string, change string, size long, mtime long"
 
@@ -35,6 +36,7 @@ class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options):
         self.root, self.state = options["path"], options["state"]
         self.skip = os.path.abspath(options["skip"]) + os.sep if options.get("skip") else None
+        self.limit, self.follow = int(options.get("max_filesize", MAX_FILESIZE)), str(options.get("follow", "false")).lower() == "true"
         os.makedirs(self.state, exist_ok=True)
 
     def _load(self, n: int) -> dict:
@@ -45,11 +47,11 @@ class _Reader(SimpleDataSourceStreamReader):
 
     def _scan(self) -> dict:
         out = {}
-        for f in walk(self.root):
+        for f in walk(self.root, self.limit, self.follow):
             if self.skip and f.path.startswith(self.skip):
                 continue
             try:
-                out[f.path] = [f.size, os.stat(f.path).st_mtime_ns]
+                out[shown(f.path)] = [f.size, os.stat(f.path).st_mtime_ns]
             except OSError:
                 continue
         return out
@@ -91,21 +93,29 @@ class Changes(DataSource):
         return _Reader(self.options)
 
 
-def changes(spark: SparkSession, root: str, state: str, skip: str | None = None):
-    """The streaming DataFrame of a tree's changes."""
+def changes(spark: SparkSession, root: str, state: str, skip: str | None = None, **options):
+    """The streaming DataFrame of a tree's changes. options: max_filesize and follow, as for `quern_files`."""
     spark.dataSource.register(Changes)
-    reader = spark.readStream.format("quern_changes").option("path", root).option("state", state)
+    reader = spark.readStream.format("quern_changes").options(path=root, state=state, **options)
     return (reader.option("skip", skip) if skip else reader).load()
 
 
-def watch(spark: SparkSession, root: str, index_root: str, *, interval: str = "500 milliseconds", on_update: Callable[[dict], None] | None = None):
-    """Starts a query that updates the index after each batch of changes; stop() ends it."""
+def watch(spark: SparkSession, engine, *, interval: str = "500 milliseconds", state: str | None = None, on_update: Callable[[dict], None] | None = None):
+    """Starts a query that updates the engine's index after each batch of changes; stop() ends it. An update lists the
+    tree and reads the files that differ; one that fails is logged, and the next batch makes up for it."""
+    options = {k: v for k, v in engine.options.items() if k in ("max_filesize", "follow")}
+    folder = state or engine.index_root.removeprefix("file://")
 
     def done(batch, _):
-        if not batch.isEmpty():
-            state = index.update(read(batch.sparkSession, root), index_root)
-            if on_update:
-                on_update(state)
-
-    stream = changes(spark, root, f"{index_root}/watch", index_root)
-    return stream.writeStream.trigger(processingTime=interval).option("checkpointLocation", f"{index_root}/watch-checkpoint").foreachBatch(done).start()
+        if batch.isEmpty():
+            return
+        try:
+            got = engine.update()
+        except Exception:
+            logging.getLogger("quern").exception("the index could not be updated")
+            return
+        if on_update:
+            on_update(got)
+
+    stream = changes(spark, engine.source, f"{folder}/watch", folder, **options)
+    return stream.writeStream.trigger(processingTime=interval).option("checkpointLocation", f"{folder}/watch-checkpoint").foreachBatch(done).start()
