@@ -126,6 +126,18 @@ def _reverse(tree):
     return tree
 
 
+def closed(tree):
+    """(the tree with the open run of a set that it ends in at its least length, that set or None)."""
+    if tree[0] == "rep" and tree[1][0] == "set" and tree[3] is None:
+        return ("rep", tree[1], tree[2], tree[2]), tree[1][1]
+    if tree[0] == "rep" and tree[3] is None and tree[1][0] == "cat" and len(tree[1][1]) == 1 and tree[1][1][0][0] == "set":
+        return ("rep", tree[1][1][0], tree[2], tree[2]), tree[1][1][0][1]
+    if tree[0] == "cat" and tree[1]:
+        last, run = closed(tree[1][-1])
+        return ("cat", [*tree[1][:-1], last]), run
+    return tree, None
+
+
 @dataclass
 class _Nfa:
     empty: list[list[int]] = field(default_factory=list)
@@ -307,11 +319,14 @@ def scan(dfa: Dfa, data: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.
     hits: list[tuple[np.ndarray, np.ndarray]] = []
     todo = np.arange(wide)
     while len(todo):
+        if hits:
+            hits = [(p[k], s[k]) for p, s in hits for k in [~np.isin(p // length, todo)]]
+        if len(todo) <= 8 and wide > 8:  # a run that keeps its state over lanes is followed through them one by one
+            _follow(dfa, columns, begun, ended, todo.tolist(), hits)
+            break
         state = begun[todo].copy()
         at = np.empty(len(todo), np.int32)
         part = columns if len(todo) == wide else np.ascontiguousarray(columns[:, todo])
-        if hits:
-            hits = [(p[k], s[k]) for p, s in hits for k in [~np.isin(p // length, todo)]]
         for j in range(length):
             np.add(state, part[j], out=at)
             np.take(dfa.table, at, out=state, mode="clip")
@@ -329,6 +344,31 @@ def scan(dfa: Dfa, data: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.
     return p[order], s[order]
 
 
+def _follow(dfa: Dfa, columns: np.ndarray, begun: np.ndarray, ended: np.ndarray, todo: list[int], hits: list) -> None:
+    """Lanes that began in the wrong state, in order, each with those behind it for as long as what it ends in is new."""
+    length, wide = columns.shape
+    table, accept, width = dfa.table, dfa.first_accepting * dfa.width, dfa.width
+    table = table.tolist() if length * len(todo) > 1 << 12 else table
+    waiting = sorted(todo, reverse=True)
+    while waiting:
+        lane = waiting.pop()
+        old = [(p[k], s[k]) for p, s in hits for k in [p // length != lane]]
+        hits[:] = old
+        state, at, into = int(begun[lane]), [], []
+        for j, c in enumerate(columns[:, lane].tolist()):
+            state = int(table[state + c])
+            if state >= accept:
+                at.append(lane * length + j)
+                into.append(state // width)
+        if at:
+            hits.append((np.array(at), np.array(into, np.int64)))
+        ended[lane] = state
+        if lane + 1 < wide and begun[lane + 1] != state:
+            begun[lane + 1] = state
+            if not waiting or waiting[-1] != lane + 1:
+                waiting.append(lane + 1)
+
+
 def begins(dfa: Dfa, data: bytes, end: int, low: int = 0) -> list[int]:
     """All starts of matches that end before `end`, nearest first, by an automaton of the reversed rule."""
     out, state, width = [], dfa.start, dfa.width

@@ -2,8 +2,10 @@
 
 All rules are parsed, joined and made into one minimal automaton over bytes (subset construction,
 then partition refinement), whose transition array is walked once over each byte. Where it accepts, a
-small automaton of the reversed rule walks back to the start. A private key is found by its header and
-goes on to its END line (to the end of the base64 run where there is none). Per rule the matches are the leftmost
+small automaton of the reversed rule walks back to the start. A rule that ends in an open run of one set ([0-9a-z]+)
+is in the automaton with the least length of that run: the longest match ends where the run ends, which is looked up
+once for each run, so a value of megabytes takes one walk back over what is before it. A private key is found by its
+header and goes on to its END line (to the end of the base64 run where there is none). Per rule the matches are the leftmost
 and longest that count (`least`, `tail`) and don't overlap, with no letter, digit or _ directly before (`left`) or after (`right`).
 
 Defined results: null and empty texts hold no secrets; rows with a null doc_id are reported with a null
@@ -59,23 +61,30 @@ RULES = (
 )
 
 
+_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+_TAIL = _WORD | frozenset(b"+/-")
+
+
 @dataclass(frozen=True)
 class Compiled:
     rules: tuple[Rule, ...]
     forward: am.Dfa
     backward: tuple[am.Dfa, ...]
+    runs: tuple[re.Pattern | None, ...]  # the open run that each rule ends in
 
 
 @lru_cache(maxsize=4)
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
     if len(rules) > 62:
         raise ValueError("at most 62 rules to an automaton")
-    trees = [am.parse(r.head or r.pattern, r.fold_case) for r in rules]
-    return Compiled(rules, am.compile_dfa(trees, True, [r.left for r in rules]), tuple(am.compile_dfa([am.reverse(t)], False) for t in trees))
-
-
-_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
-_TAIL = _WORD | frozenset(b"+/-")
+    trees, runs = [], []
+    for r in rules:
+        tree, run = am.closed(am.parse(r.head or r.pattern, r.fold_case))
+        if run is not None and r.right and not run <= _WORD:
+            raise ValueError(f"{r.name}: a rule with `right` may end in an open run of letters, digits and _ only")
+        trees.append(tree)
+        runs.append(None if run is None or r.head else re.compile(b"[" + b"".join(b"\\x%02x" % x for x in sorted(run)) + b"]*+"))
+    return Compiled(rules, am.compile_dfa(trees, True, [r.left for r in rules]), tuple(am.compile_dfa([am.reverse(t)], False) for t in trees), tuple(runs))
 
 
 def scan_texts(texts: list[bytes], c: Compiled) -> list[list[tuple[int, int, int]]]:
@@ -90,15 +99,22 @@ def scan_texts(texts: list[bytes], c: Compiled) -> list[list[tuple[int, int, int
     which = np.searchsorted(ends, at, side="right")
     where = at - np.concatenate([[0], ends[:-1]])[which] + 1
     found: dict[tuple[int, int], dict[int, int]] = {}
+    reach: dict[tuple[int, int], int] = {}  # where the last open run that was looked up ends
     for d, end, state in zip(which.tolist(), where.tolist(), states.tolist()):
         text, mask = texts[d], int(c.forward.rules[state])
+        whole_end = end
         while mask:
+            end = whole_end
             k = (mask & -mask).bit_length() - 1
             mask &= mask - 1
-            rule = c.rules[k]
+            rule, begun = c.rules[k], end
+            if c.runs[k] is not None:
+                if end > reach.get((d, k), -1):
+                    reach[d, k] = c.runs[k].match(text, end).end()
+                end = reach[d, k]
             if rule.right and end < len(text) and text[end] in _WORD:
                 continue
-            starts = [s for s in am.begins(c.backward[k], text, end) if not (rule.left and s and text[s - 1] in _WORD)]
+            starts = [s for s in am.begins(c.backward[k], text, begun) if not (rule.left and s and text[s - 1] in _WORD)]
             if rule.head:  # the header's last dash is where it accepts: once a header
                 whole = re.compile(rule.pattern.encode(), re.I if rule.fold_case else 0)
                 end = max((m.end() for s in starts if (m := whole.match(text, s))), default=end)
