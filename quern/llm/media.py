@@ -114,15 +114,39 @@ def _pdf(d: bytes, o: int):
     return "application/pdf", i - o
 
 
-def _zip(d: bytes, o: int):
-    i = o
+_LAST: list = [None, {}, set()]
+
+
+def _archives(d: bytes) -> tuple[dict[int, int], set[int]]:
+    """({where an archive begins: where it ends}, where entries begin that a directory names), in one pass over a payload;
+    kept for as long as it is the same one."""
+    if _LAST[0] is d:
+        return _LAST[1], _LAST[2]
+    whole, entries, i = {}, set(), 0
     while (i := d.find(b"PK\x05\x06", i)) >= 0:
         if i + 22 <= len(d):
             size, at, note = unpack_from("<IIH", d, i + 12)
-            if o + at + size == i and d[o + at : o + at + 4] == b"PK\x01\x02" and i + 22 + note <= len(d):
-                return "application/zip", i + 22 + note - o
+            top = i
+            if d[i - 20 : i - 16] == b"PK\x06\x07" and i >= 76 and d[i - 76 : i - 72] == b"PK\x06\x06":  # the long form
+                top = i - 76
+                size, at = unpack_from("<QQ", d, top + 40)
+            o = top - at - size
+            if o >= 0 and d[o + at : o + at + 4] == b"PK\x01\x02" and i + 22 + note <= len(d):
+                whole.setdefault(o, i + 22 + note)
+                j = o + at
+                while j + 46 <= top and d[j : j + 4] == b"PK\x01\x02":
+                    a, b, c = unpack_from("<HHH", d, j + 28)
+                    if (first := o + unpack_from("<I", d, j + 42)[0]) > o:
+                        entries.add(first)
+                    j += 46 + a + b + c
         i += 4
-    return None
+    _LAST[:] = d, whole, entries
+    return whole, entries
+
+
+def _zip(d: bytes, o: int):
+    whole, entries = _archives(d)
+    return ("application/zip", whole[o] - o) if o in whole and o not in entries else None
 
 
 def _gzip(d: bytes, o: int):
