@@ -52,6 +52,8 @@ _SAME["g"] += "9"
 _SAME["b"] += "8"
 _WIDE = {ord(c): a for a, cs in _SAME.items() for c in cs if ord(c) > 255}
 _WIDE |= {ord(chr(k).upper()): v for k, v in list(_WIDE.items()) if len(chr(k).upper()) == 1}
+#: Characters that show nothing (soft hyphen, zero width, direction, joiners, selectors) and accents on their own.
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\u0300-\u036f]")
 _MARKS = re.compile(rb"(?<=\w)[@$!|](?=\w)")
 _EDGES = re.compile(rb"(?<=[\w\x80-\xff])[@$!|]+|[@$!|]+(?=[\w\x80-\xff])")
 
@@ -74,12 +76,13 @@ _SIGNS = {b"@": b"a", b"$": b"s", b"!": b"i", b"|": b"i"}
 
 
 def fold(text: str, edges: bool = False) -> str:
-    """Case, accents, look-alikes, digits: one byte table where the text is Latin-1, else a slower path.
+    """Case, accents, look-alikes, digits: one byte table where the text is Latin-1, else a slower path. Characters that
+    show nothing are taken out first, so that none can break up a word.
     edges: signs that touch a letter on one side, or another such sign, are letters as well."""
     try:
-        b = text.encode("latin-1")
+        b = text.encode("latin-1").replace(b"\xad", b"")
     except UnicodeEncodeError:
-        b = unicodedata.normalize("NFKC", text).translate(_WIDE).encode("latin-1", "replace")
+        b = unicodedata.normalize("NFC", _HIDDEN.sub("", unicodedata.normalize("NFKD", text))).translate(_WIDE).encode("latin-1", "replace")
     if any(m in b for m in _SIGNS):
         marks = _EDGES if edges else _MARKS
         b = marks.sub(lambda m: b"".join(_SIGNS[m[0][i : i + 1]] for i in range(len(m[0]))), b)
@@ -195,7 +198,7 @@ def learn(texts: list[str], toxic: list[int], *, least: int = 6, odds: float = 1
         if any(stem.startswith(c) or c.startswith(stem) for c in chosen):
             continue
         chosen.append(stem)
-        entries[stem] = (stem, round(min(2.0, weight / 3), 4), whole and stem in entries)
+        entries[stem] = (stem, round(min(2.0, weight / 3), 4), whole)
     lexicon = Lexicon(tuple(sorted(entries.values())), base.exceptions, base.threshold, base.min_hits)
     automaton = lexicon.automaton()
     scored = sorted(((1000 * s / max(1, w) if base.enough(s, n) else 0.0, y) for (t, y) in use for s, n, w in [measure(t, automaton)]), reverse=True)
