@@ -3,7 +3,7 @@
     <root>/state-<n>.json           the states; the highest n counts
     <root>/after-<n>                who may write the state that follows n
     <root>/gen-<id>/files           the base's manifest
-    <root>/gen-<id>/postings        (gram, shard, docs, paths, origins), see extract()
+    <root>/gen-<id>/postings        (gram, shard, n, docs, paths, origins)
     <root>/over-<id>/...            an overlay, with its changes
 
 A shard is some megabytes of neighbouring texts. Each of its n-grams has one row with the places in the shard of the
@@ -41,7 +41,7 @@ SHARD, SPREAD = 8 << 20, 1 << 30
 #: Candidates up to FEW go into the scan as a list; n-grams in more than 1 / COMMON of the files (and in LEAST_COMMON at least) aren't looked up.
 FEW, COMMON, LEAST_COMMON = 2000, 4, 64
 HEAD = -1
-_POSTINGS = "gram long, shard long, docs array<int>, paths array<string>, origins array<string>"
+_POSTINGS = "gram long, shard long, n int, docs array<int>, paths array<string>, origins array<string>"
 CLAIM_SECONDS = 60
 
 
@@ -81,20 +81,20 @@ def extract(files: DataFrame) -> DataFrame:
 def _shards(batches):
     """(file_path, content, origin) to rows of _POSTINGS: per shard a head and one row for each n-gram."""
     names = [x.split()[0] for x in _POSTINGS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
     for part in _texts(batches):
         t = pa.Table.from_batches(part).combine_chunks()
         paths, origins = t.column(0).to_pylist(), t.column(2).to_pylist()
         key, row = ngram.packed(t.column(1).combine_chunks())
         shard = xxhash.xxh3_64_intdigest(key.tobytes(), xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [None], [paths], [origins]), types)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], [None], [paths], [origins]), types)], names=names)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         edge = np.append(first, len(key))
         for s in range(0, len(first), 1 << 17):
             e = min(s + (1 << 17), len(first))
             docs = pa.ListArray.from_arrays(pa.array((edge[s : e + 1] - edge[s]).astype(np.int32)), pa.array(row[edge[s] : edge[e]].astype(np.int32)))
-            none = [pa.nulls(e - s, k) for k in types[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[first[s:e]]), pa.array(np.full(e - s, shard)), docs, *none], names=names)
+            none = [pa.nulls(e - s, k) for k in types[4:]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first[s:e]]), pa.array(np.full(e - s, shard)), pa.array(np.diff(edge[s : e + 1]).astype(np.int32)), docs, *none], names=names)
 
 
 def manifest(corpus: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _write(rows: DataFrame, folder: str) -> dict:
     rows.where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.parquet(f"{folder}/postings")
     files = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).count()
     least = max(LEAST_COMMON, files // COMMON)
-    grams = spark.read.parquet(f"{folder}/postings").where(F.col("gram") != HEAD).groupBy("gram").agg(F.sum(F.size("docs")).alias("n"))
+    grams = spark.read.parquet(f"{folder}/postings").where(F.col("gram") != HEAD).groupBy("gram").agg(F.sum("n").alias("n"))
     # a text has so many n-grams, so those in a quarter of all texts are few, whatever the number of texts
     got = grams.agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("n") > least, F.col("gram"))).alias("common")).first()
     return {"folder": folder.rsplit("/", 1)[-1], "files": files, "grams": got.n, "common": sorted(got.common)}
@@ -315,7 +315,7 @@ def search(corpus: DataFrame, root: str, pattern: str | list[str], options: se.S
     found = _candidates(spark, root, plan, state)
     if fetch:
         return se.search(fetch(found), pattern, o)
-    few = found.limit(FEW + 1).collect()
+    few = found.limit(FEW + 1).agg(F.collect_list(F.struct("file_path", "origin")).alias("rows")).collect()[0].rows
     if len(few) <= FEW:
         left = corpus.where(F.col("file_path").isin([r.file_path for r in few]) if few else F.lit(False))
         if few and "origin" in corpus.columns and all(r.origin for r in few):

@@ -165,7 +165,7 @@ def _pair_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.range(65536).select((F.col("id") / 256).cast("int").alias("a"), (F.col("id") % 256).cast("int").alias("b")).collect()
     pairs = spark.createDataFrame([(r.a, r.b, ngram.key(bytes((r.a, r.b)))) for r in keys], "a int, b int, gram long")
     rows = index.postings(spark, root, index.current(root, spark)["base"])
-    return rows.join(pairs, "gram").groupBy("a", "b").agg(F.sum(F.size("docs")).alias("n_files"))
+    return rows.join(pairs, "gram").groupBy("a", "b").agg(F.sum("n").alias("n_files"))
 
 
 _add("posting_sizes_of_pairs", _pair_postings, f"with {_CORPUS}, hexed as (select file_path, hex(encode(content)) as h from corpus), byte as (select file_path, h, unnest(range(1, length(h) - 2, 2)) as i from hexed where length(h) >= 4), pairs as (select distinct file_path, substr(h, i, 4) as p from byte) select ('0x' || substr(p, 1, 2))::integer as a, ('0x' || substr(p, 3, 2))::integer as b, count(*) as n_files from pairs group by p")
