@@ -62,4 +62,4 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_compression, op4_near_dedup, op5_media, op6_mixing, op7_secrets, op8_packing, op9_binary, op10_substring_dedup)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_substring_dedup": substring.SQL}
