@@ -166,21 +166,38 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def _gathered(conversations: DataFrame) -> DataFrame:
-    base = pick(conversations, c="conv_id", n="turn", r="role", t="text").select(F.col("c").cast("long"), F.col("n").cast("long"), "r", F.coalesce("t", F.lit("")).alias("t"))
+    base = pick(conversations, c="conv_id", n="turn", r="role", t="text").select(F.expr("try_cast(c as bigint)").alias("c"), F.expr("try_cast(n as bigint)").alias("n"), "r", F.coalesce("t", F.lit("")).alias("t"))
     return base.where("c is not null").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("n", "r", "t"))).alias("turns"))
 
 
-def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, text): each conversation as a plain transcript, a turn's role before its text."""
-    one = lambda x: F.concat(F.when(F.trim(x["r"]) != "", F.concat(F.initcap(F.trim(x["r"])), F.lit(": "))).otherwise(""), x["t"])
-    return _gathered(conversations).select(F.col("c").alias("conv_id"), F.array_join(F.transform("turns", one), "\n").alias("text"))
+def transcripts(conversations: DataFrame, mixed: bool = False, lost: int = 10) -> DataFrame:
+    """(conv_id, text): each conversation as a plain transcript, a turn's role before its text. mixed: each in one of the
+    marker styles, by a hash of its id, and of `lost` in a hundred turns, by a hash of id and turn, the marker is left out."""
+    name = lambda x: F.trim(x["r"])
+    one = lambda x: F.concat(F.when(name(x) != "", F.concat(F.initcap(name(x)), F.lit(": "))).otherwise(""), x["t"])
+    rows = _gathered(conversations)
+    if not mixed:
+        return rows.select(F.col("c").alias("conv_id"), F.array_join(F.transform("turns", one), "\n").alias("text"))
+    style = F.pmod(F.xxhash64("c", F.lit(1)), F.lit(5))
+
+    def marked(x):
+        r = name(x)
+        alias = F.when(F.lower(r) == "user", "Human").when(F.lower(r) == "assistant", "AI").otherwise(F.initcap(r))
+        mark = (
+            F.when(style == 0, F.concat(F.initcap(r), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), F.initcap(r), F.lit(":\n")))
+            .when(style == 2, F.concat(F.lit("["), F.lower(r), F.lit("] "))).when(style == 3, F.concat(F.lit("**"), F.initcap(r), F.lit(":** "))).otherwise(F.concat(alias, F.lit(": ")))
+        )
+        shown = (F.coalesce(r, F.lit("")) != "") & (F.pmod(F.xxhash64("c", x["n"], x["t"]), F.lit(100)) >= lost)
+        return F.concat(F.when(shown, mark).otherwise(""), x["t"])
+
+    return rows.select(F.col("c").alias("conv_id"), F.array_join(F.transform("turns", marked), "\n").alias("text"))
 
 
 def fit(spark: SparkSession, conversations: DataFrame, sample: int = 2000) -> Model:
     """Trains on the `sample` conversations whose ids hash lowest."""
-    ids = pick(conversations, c="conv_id").select(F.col("c").cast("long")).where("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(sample)
+    ids = pick(conversations, c="conv_id").select(F.col("c").try_cast("long").alias("c")).where("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(sample)
     c = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
-    rows = _gathered(c.join(ids, F.col("conv_id").cast("long") == ids["c"], "left_semi")).orderBy("c").collect()
+    rows = _gathered(c.join(ids, F.col("conv_id").try_cast("long") == ids["c"], "left_semi")).orderBy("c").collect()
     return train([[(x.r, x.t) for x in r.turns] for r in rows])
 
 
@@ -195,4 +212,4 @@ def formatted(texts: DataFrame, model: Model) -> DataFrame:
                 names=["conv_id", "turns", "roles", "chat"],
             )
 
-    return pick(texts, k="conv_id", t="text").select(F.col("k").cast("long"), "t").mapInArrow(run, "conv_id long, turns long, roles array<string>, chat string")
+    return pick(texts, k="conv_id", t="text").select(F.col("k").try_cast("long").alias("k"), "t").mapInArrow(run, "conv_id long, turns long, roles array<string>, chat string")

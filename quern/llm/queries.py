@@ -9,9 +9,10 @@ from quern.llm.common import table
 
 
 def op1_chat(spark, sf_dir):
-    """Every conversation, written down as a plain transcript, parsed and rendered again."""
+    """Every conversation, written down as a transcript in one of several marker styles, with some markers lost, parsed
+    and rendered again."""
     conversations = table(spark, sf_dir, "conversations")
-    return chat.formatted(chat.transcripts(conversations), chat.fit(spark, conversations))
+    return chat.formatted(chat.transcripts(conversations, mixed=True), chat.fit(spark, conversations))
 
 
 def op2_toxicity(spark, sf_dir):
