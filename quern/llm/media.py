@@ -368,7 +368,7 @@ def inspect(rows: DataFrame, key: str, payload: str, declared: str) -> DataFrame
             cols.append(pa.array([[dict(zip(("offset", "length", "type", "encoding", "digest"), m)) for m in g[2]] for g in got], _MEDIA))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    base = pick(rows, k=key, p=payload, d=declared).select(F.col("k").cast("long"), F.col("p").cast("binary"), F.col("d").cast("string"))
+    base = pick(rows, k=key, p=payload, d=declared).select(F.col("k").try_cast("long").alias("k"), F.col("p").cast("binary"), F.col("d").cast("string"))
     return base.mapInArrow(run, SCHEMA)
 
 

@@ -139,7 +139,7 @@ def _slots(spark, a: list[int], slots: int, size: int | None = None) -> DataFram
 def _keyed(docs: DataFrame) -> DataFrame:
     """(id, source, sig, size): sig tells rows apart that share an id."""
     base = pick(docs, id="doc_id", source="source", text="text")
-    return base.select(F.col("id").cast("long"), F.col("source").cast("string"), F.xxhash64("id", "source", "text").alias("sig"), F.greatest(F.lit(1), F.length("text")).cast("long").alias("size"))
+    return base.select(F.col("id").try_cast("long").alias("id"), F.col("source").cast("string"), F.xxhash64("id", "source", "text").alias("sig"), F.greatest(F.lit(1), F.length("text")).cast("long").alias("size"))
 
 
 def _schedule(docs: DataFrame, weights, alpha: float, block: int, seed: int) -> tuple[DataFrame, int]:
@@ -187,7 +187,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, *, alpha: float = ALPHA,
     got = got.select(F.col("id").alias(a), F.col("sig").alias(b), F.col("slot").alias(slot), F.col("start").alias(start))
     have = {c: F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string") for c in ("doc_id", "source", "text")}
     key, sig = fresh(docs, "own_id"), fresh(docs, "own_sig")
-    own = docs.withColumn(key, have["doc_id"].cast("long")).withColumn(sig, F.xxhash64(have["doc_id"], have["source"], have["text"]))
+    own = docs.withColumn(key, have["doc_id"].try_cast("long")).withColumn(sig, F.xxhash64(have["doc_id"], have["source"], have["text"]))
     rows = own.join(got, own[key].eqNullSafe(got[a]) & (own[sig] == got[b]))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.floor(F.col(slot) * parts / max(1, slots)).cast("int")

@@ -151,7 +151,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["doc_id", "rule", "start", "length", "digest"])
 
-    return pick(docs, k="doc_id", t="text").select(F.col("k").cast("long"), "t").where("t is not null").mapInArrow(run, "doc_id long, rule string, start long, length long, digest string")
+    return pick(docs, k="doc_id", t="text").select(F.col("k").try_cast("long").alias("k"), "t").where("t is not null").mapInArrow(run, "doc_id long, rule string, start long, length long, digest string")
 
 
 def redacted(text: bytes, spans: list[tuple[int, int, int]], c: Compiled) -> bytes:
@@ -171,7 +171,10 @@ def redacted(text: bytes, spans: list[tuple[int, int, int]], c: Compiled) -> byt
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret replaced by [rule]; n_chars follows the text where it was its length. All columns stay."""
+    """docs with each secret replaced by [rule]; n_chars follows the text where it was its length. All columns stay.
+    Without a column `text` there are no secrets."""
+    if "text" not in docs.columns:
+        return docs
     c = compile_rules(rules)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -239,11 +239,13 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 names=["doc_id", "toxic", "score", "hits", "words"],
             )
 
-    return pick(docs, k="doc_id", t="text").select(F.col("k").cast("long"), "t").mapInArrow(run, "doc_id long, toxic boolean, score double, hits long, words long")
+    return pick(docs, k="doc_id", t="text").select(F.col("k").try_cast("long").alias("k"), "t").mapInArrow(run, "doc_id long, toxic boolean, score double, hits long, words long")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs without the toxic rows; all columns stay as they are."""
+    """docs without the toxic rows; all columns stay as they are. Without a column `text` nothing is toxic."""
+    if "text" not in docs.columns:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches):
