@@ -7,7 +7,7 @@ a ratio is repetitive, too low incompressible. A document is rejected where its
 its band, or where more than `share` of its chunks are.
 
 Defined results: null and empty texts have 0 bytes, a null ratio, and are rejected as "empty". A
-last chunk shorter than a quarter of `chunk` is not judged unless it is the only one. Each row is
+rest shorter than a quarter of `chunk` belongs to the chunk before it, so every byte is judged. Each row is
 judged by its own text (repeated rows get equal results); an empty table gives none.
 """
 
@@ -45,10 +45,11 @@ def judge(data: bytes, compressor: zstandard.ZstdCompressor, bands=BANDS, chunk:
         count, low, high = 1, int(whole < 0), int(whole > 0)
     else:
         view = memoryview(data)
-        for i in range(0, n, chunk):
-            part = view[i : i + chunk]
-            if len(part) * 4 < chunk:
-                continue
+        starts = list(range(0, n, chunk))
+        if (n - starts[-1]) * 4 < chunk:
+            starts.pop()
+        for i, end in zip(starts, [*starts[1:], n]):
+            part = view[i:end]
             count += 1
             v = verdict(len(part), len(part) / len(compressor.compress(part)), bands)
             low, high = low + (v < 0), high + (v > 0)
@@ -72,4 +73,4 @@ def compression_bands(docs: DataFrame, *, level: int = 3, bands=BANDS, chunk: in
             types = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_bytes", "ratio", "chunks", "low_chunks", "high_chunks", "keep", "reason"])
 
-    return pick(docs, k="doc_id", t="text").select(F.col("k").cast("long"), "t").mapInArrow(run, SCHEMA)
+    return pick(docs, k="doc_id", t="text").select(F.col("k").try_cast("long").alias("k"), "t").mapInArrow(run, SCHEMA)
