@@ -1,16 +1,24 @@
 """Near-duplicate search: banded MinHash, verified by odd sketches.
 
-A text is lower-cased and cut into words (runs of letters, digits and bytes beyond ASCII); its set is
-that of its `shingle`-word runs. `bands * rows` MinHash samples of the set give band keys, and are
+A text is lower-cased and cut into words (runs of letters and digits; in scripts without blanks, as Chinese, Japanese or
+Thai, each character is a word); its set is that of its `shingle`-word runs. `bands * rows` MinHash samples of the set give band keys, and are
 folded into an odd sketch: a bitmap of `bits` parities, one toggled per sample. For two sets with
 Jaccard J the XOR of the bitmaps has n/2 * (1 - exp(-4k(1-J)/n)) ones on average, so its population
 count estimates J (k samples, n bits).
 
 1. one pass over the texts makes (id, digest, band keys, sketch), written once as a checkpoint;
 2. equal digests are joined to their lowest id, which alone goes on (huge groups of exact copies cost one row each);
-3. band keys are shuffled as (key, id); keys held by several ids give candidate sets, equal sets are merged;
-4. in each set all pairs that aren't linked already are verified by sketch, so no partner is capped;
-5. connected components (large-star / small-star); the lowest doc_id of a component stays.
+3. keys that many ids have are told first, by counts of a sample of the ids, combined before the shuffle (a key's count
+   decides where its ids are compared, not whether); the others are shuffled as (key, id) and give candidate sets; of keys
+   with the same ids one is kept;
+4. in each set of up to some `HOT` ids all pairs that aren't linked already are verified by sketch, so no partner is capped;
+5. a larger set is spread: each id is compared with the set's lowest one and those in its block; when the components
+   of all links so far are known, blocks of ids are compared with each other, but for pairs of blocks that are of
+   one component. Nothing is left out, and no task sees more than two blocks of a set at once;
+6. connected components (large-star / small-star); the lowest doc_id of a component stays.
+
+What step 5 costs: nothing more than one comparison an id where a large set is of copies; for ids that share a band and
+aren't alike it is all their pairs, spread over the tasks.
 
 Defined results: null texts and texts without a word are never compared and stay; so do rows with a
 null doc_id. Rows that share a doc_id count as one document, of which keep_one() keeps one row (the
@@ -22,14 +30,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quern.llm import text
 from quern.llm.common import checkpoint, fresh, pick, slices
+from quern.llm.text import mix
 
 U = np.uint64
+HOT, WIDE, SAMPLE = 1 << 16, 4096, 4096
 
 
 @dataclass(frozen=True)
@@ -46,52 +59,11 @@ class Params:
         return self.bands * self.rows
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift-multiply)."""
-    x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    x ^= x >> U(32)
-    x *= U(0xD6E8FEB86659FD93)
-    x ^= x >> U(32)
-    return x
-
-
-_BASE, _INVERSE = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
-_WORD = np.array([i > 127 or chr(i).isalnum() for i in range(256)])
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the life of the worker."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 1 << 20), base, U)
-            x[0] = 1
-            _POWERS[i] = np.multiply.accumulate(x)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text with the end appended), for a whole column at once."""
-    column = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    low, n = int(offsets[0]), int(offsets[-1] - offsets[0])
-    offsets = offsets - low
-    raw = np.frombuffer(data, np.uint8)[low : low + n] if n else np.zeros(0, np.uint8)
-    inside = _WORD[raw]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    edge = offsets[:-1][offsets[:-1] < n]
-    before[edge] = False
-    edge = edge[edge > 0]
-    after[edge - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(raw * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + U(1))
-    return hashes, np.searchsorted(starts, offsets)
+    raw, offsets = text.flat(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    starts, ends = text.letters(raw, offsets)
+    return text.hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +147,7 @@ def sign(docs: DataFrame, p: Params) -> DataFrame:
                 names=["id", "d1", "d2", "keys", "sketch"],
             )
 
-    base = pick(docs, id="doc_id", t="text").select(F.col("id").cast("long"), "t").where("id is not null and t is not null")
+    base = pick(docs, id="doc_id", t="text").select(F.expr("try_cast(id as bigint)").alias("id"), "t").where("id is not null and t is not null")
     return base.mapInArrow(run, "id long, d1 long, d2 long, keys array<long>, sketch binary")
 
 
@@ -213,19 +185,14 @@ def _sets(batches):
 
 def link(sketches: np.ndarray, p: Params) -> np.ndarray:
     """For n sketches (n x words): the lowest member linked to each, where every pair at the threshold
-    is linked. Members are compared with everything outside their own component, so that a large
-    group of like members costs one comparison each, and no pair is left out."""
+    is linked."""
     n = len(sketches)
     root = np.arange(n)
-    done = np.zeros(n, bool)
     for i in range(n):
-        if done[i]:
-            continue
         like = estimate(np.bitwise_count(sketches ^ sketches[i]).sum(axis=1, dtype=np.int64), p) >= p.threshold
         like[i] = True
         roots = np.unique(root[like])
         root[np.isin(root, roots)] = roots[0]
-        done[i] = True
     return root
 
 
@@ -244,6 +211,8 @@ def _link_large(sketches: np.ndarray, p: Params) -> np.ndarray:
         root[np.isin(root, old)] = old[0]
         root[like] = old[0]
     for i in np.flatnonzero(~leaders):
+        if (root == root[0]).all():
+            break
         other = np.flatnonzero((root != root[i]) & ~leaders)
         if len(other):
             like = other[estimate(np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64), p) >= p.threshold]
@@ -254,7 +223,7 @@ def _link_large(sketches: np.ndarray, p: Params) -> np.ndarray:
 
 
 def _verify(p: Params):
-    """Rows (h1, h2, id, sketch), sorted by set: edges (a, b) from each member to the lowest one linked to it."""
+    """Rows (set, block, id, sketch), sorted by set and block: edges (a, b) from each member to the lowest one linked to it."""
 
     def pairs(first, second, words):
         return estimate(np.bitwise_count(words[first] ^ words[second]).sum(axis=1, dtype=np.int64), p) >= p.threshold
@@ -294,6 +263,99 @@ def _verify(p: Params):
     return run
 
 
+def _across(p: Params):
+    """Rows (set, one, two, side, id, root, sketch), sorted by (set, one, two): edges between the roots of ids of block one
+    and block two that are alike (side 0 and 1; a block with itself has both sides in one row, side 2)."""
+
+    def edges(side, roots, words):
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        known = {}
+
+        def top(x):
+            while (y := known.get(x, x)) != x:
+                x = y
+            return x
+
+        out = []
+        r, w = roots[right], words[right]
+        for i in left.tolist():
+            other = np.flatnonzero(r != roots[i])
+            if not len(other):
+                continue
+            like = other[estimate(np.bitwise_count(w[other] ^ words[i]).sum(axis=1, dtype=np.int64), p) >= p.threshold]
+            for x in np.unique(r[like]).tolist():
+                a, b = top(int(roots[i])), top(x)
+                if a != b:
+                    known[max(a, b)] = min(a, b)
+                    out.append((max(a, b), min(a, b)))
+        u, v = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches):
+        kept = None
+        for x in batches:
+            if not x.num_rows:
+                continue
+            words = np.frombuffer(b"".join(x.column(6).to_pylist()), U).reshape(x.num_rows, -1)
+            part = (np.stack([x.column(k).to_numpy() for k in (0, 1, 2)], 1), x.column(3).to_numpy(), x.column(5).to_numpy(), words)
+            if kept is not None:
+                part = tuple(np.concatenate([k, v]) for k, v in zip(kept, part))
+            begin = np.flatnonzero(np.concatenate([[True], (part[0][1:] != part[0][:-1]).any(axis=1)]))
+            for s, e in zip(begin, begin[1:]):
+                yield edges(*(v[s:e] for v in part[1:]))
+            kept = tuple(v[begin[-1] :] for v in part)
+        if kept is not None:
+            yield edges(*kept[1:])
+
+    return run
+
+
+def _different(keys: DataFrame) -> DataFrame:
+    """(key, n) of band keys and how many ids they have; of keys with the same ids one."""
+    # ids may repeat under a key where rows share a doc_id: a sum and an exclusive or with the count tell sets apart
+    by_key = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("a"), F.sum(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 31))).alias("b"))
+    return by_key.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def _large(hot: DataFrame, p: Params, links: DataFrame) -> DataFrame:
+    """(u, v): links inside of large sets, from (key, n, id, sketch). links: those of the other sets."""
+    spark = hot.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = checkpoint(spark, hot)
+    least = hot.groupBy("key").agg(F.min(F.struct("id", "sketch")).alias("low"))
+    star = hot.join(least, "key").where("id != low.id")
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        w = [np.frombuffer(b"".join(s), U).reshape(len(s), -1) for s in (x, y)]
+        return pd.Series(estimate(np.bitwise_count(w[0] ^ w[1]).sum(axis=1, dtype=np.int64), p) >= p.threshold)
+
+    star = star.where(alike("sketch", "low.sketch")).select(F.col("id").alias("u"), F.col("low.id").alias("v"))
+    blocks = hot.select("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / WIDE)).alias("block"), "id", "sketch")
+    inner = blocks.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(_verify(p), "u long, v long")
+    links = checkpoint(spark, links.union(star).union(inner).distinct())
+    roots = components(spark, links).select(F.col("id").alias("own"), "root")
+    hot = hot.join(roots, F.col("id") == F.col("own"), "left").select("key", "id", "sketch", F.coalesce("root", "id").alias("root"))
+    sizes = hot.groupBy("key", "root").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("n")).where("roots > 1")
+    sizes = sizes.join(several, "key")
+    # a component that fills blocks has blocks of its own, which aren't compared with each other
+    hot = checkpoint(spark, hot.join(sizes, ["key", "root"]).withColumn("whole", F.col("c") * 2 > WIDE).withColumn(
+        "block", F.when(F.col("whole"), F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / WIDE)))).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / WIDE))))
+    ).select("key", "block", "whole", "id", "root", "sketch"))
+    some = hot.groupBy("key", "block").agg(F.first("whole").alias("whole"), F.min("root").alias("root"))
+    one = some.select("key", F.col("block").alias("one"), F.col("whole").alias("w1"), F.col("root").alias("r1"))
+    two = some.select("key", F.col("block").alias("two"), F.col("whole").alias("w2"), F.col("root").alias("r2"))
+    pairs = one.join(two, "key").where("one <= two and not (w1 and w2 and r1 = r2)").select("key", "one", "two")
+    rows = hot.select("key", "block", "id", "root", "sketch")
+    left = pairs.join(rows.withColumnRenamed("block", "one"), ["key", "one"]).select("key", "one", "two", F.when(F.col("one") == F.col("two"), 2).otherwise(0).alias("side"), "id", "root", "sketch")
+    right = pairs.where("one < two").join(rows.withColumnRenamed("block", "two"), ["key", "two"]).select("key", "one", "two", F.lit(1).alias("side"), "id", "root", "sketch")
+    found = left.union(right).repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_across(p), "u long, v long")
+    return links.union(found)
+
+
 def components(spark, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, root): the lowest id of each connected component, for every id but the roots, from edges
     (u, v), u > v. Alternates large-star and small-star, cut by a checkpoint each round."""
@@ -328,12 +390,19 @@ def _near(docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     alone = signed.join(copies.select("id").distinct(), "id", "left_anti")
     keys = alone.select(F.explode("keys").alias("key"), "id")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_sets, "h1 long, h2 long, ids array<long>")
-    sets = sets.groupBy("h1", "h2").agg(F.first("ids").alias("ids"))
-    members = sets.select("h1", "h2", F.explode("ids").alias("id"))
     sketches = alone.groupBy("id").agg(F.min("sketch").alias("sketch"))
-    placed = members.join(sketches, "id").select("h1", "h2", "id", "sketch")
+    # keys of some HOT ids and more, told by one id of SAMPLE; one that is missed is a set like the others
+    seen = keys.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").count()
+    hot = checkpoint(spark, seen.where(F.col("count") * SAMPLE >= HOT * 0.75).select("key"))
+    is_hot = hot.limit(1).count() > 0
+    rest = keys.join(hot, "key", "left_anti") if is_hot else keys
+    sets = rest.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_sets, "h1 long, h2 long, ids array<long>")
+    sets = sets.groupBy("h1", "h2").agg(F.first("ids").alias("ids"))
+    placed = sets.select("h1", "h2", F.explode("ids").alias("id")).join(sketches, "id").select("h1", "h2", "id", "sketch")
     near = placed.repartition(parts, "h1", "h2").sortWithinPartitions("h1", "h2", "id").mapInArrow(_verify(p), "u long, v long")
+    if is_hot:
+        own = keys.join(hot, "key")
+        near = _large(own.join(_different(own), "key").distinct().join(sketches, "id").select("key", "n", "id", "sketch"), p, near)
     # one document that is a copy of several others (rows that share a doc_id) links them
     twice = copies.groupBy("id").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.collect_set("rep").alias("reps")).where("n > 1")
     near = near.union(twice.select(F.explode("reps").alias("u"), F.col("low").alias("v")).where("u > v"))
@@ -346,13 +415,17 @@ def _near(docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs without near duplicates; all columns stay as they are."""
+    """docs without near duplicates; all columns stay as they are. Rows whose doc_id is null, or no number, stay."""
     removed, digests = _near(docs, p)
-    gone, row = fresh(docs, "gone"), fresh(docs, "row")
-    left = docs.join(removed.select(F.col("doc_id").alias(gone)), docs["doc_id"].cast("long") == F.col(gone), "left_anti")
-    repeated = digests.groupBy("id").agg(F.sum("rows").alias("n")).where("n > 1").limit(1).count()
-    if not repeated:
-        return left
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.md5("text"))
-    n = F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))
-    return left.withColumn(row, n).where(F.col(row) == 1).drop(row)
+    gone, row, own = (fresh(docs, x) for x in ("gone", "row", "own"))
+    ids = F.expr("try_cast(doc_id as bigint)") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    left = docs.withColumn(own, ids).join(removed.select(F.col("doc_id").alias(gone)), F.col(own) == F.col(gone), "left_anti")
+    # ids that several rows have are few and looked for alone: null ids and the rest are not shuffled
+    repeated = digests.groupBy("id").agg(F.sum("rows").alias("n")).where("n > 1").select(F.col("id").alias(gone))
+    if not repeated.limit(1).count():
+        return left.drop(own)
+    several = left.join(repeated, F.col(own) == F.col(gone), "left_semi")
+    order = Window.partitionBy(own).orderBy(F.xxhash64("text"), F.md5("text"))
+    once = several.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
+    rest = left.join(repeated, F.col(own) == F.col(gone), "left_anti")
+    return rest.union(once).drop(own)
