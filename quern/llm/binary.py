@@ -4,14 +4,15 @@ Texts become ids of a public byte-level BPE vocabulary (its file is a parameter)
 of `block` ids; a block starts from nothing and can be decoded by itself, and its CRC-32 is that of
 its ids as little-endian 16-bit numbers.
 
-In a block each id is coded against a mixture of three predictions: what followed the same two ids last
-(order 2), what followed the same id last (order 1), and the frequencies of the ids that neither
-foretold (order 0). How much of the range the first two get is learned for each class of confidence
-(how often in a row each has been right, and whether they agree). Frequencies adapt at the ends of
-growing segments. The mixture is one interval for each id, which drives a carry-less 64-bit range coder
+In a block each id is coded against a mixture of three orders. What followed the same two ids the last `SLOTS2` times,
+and the same id the last `SLOTS1` times, are slots, each with a weight; slots that say the same add up to one probability.
+The rest of the range is order 0: the frequencies of the ids that no slot foretold. Slots move with every id. Weights
+are learned for each class of what the slots look like (how many there are of each order, whether the latest two of an
+order agree, and whether the orders do) from how often each slot was right; they and the frequencies of order 0 adapt at
+the ends of growing segments. The mixture is one interval for each id, which drives a carry-less 64-bit range coder
 that writes 16-bit words.
 
-As the encoder knows the ids, all predictions of a block are found by sorting contexts, and the range
+As the encoder knows the ids, all slots of a block are found by sorting contexts, and the range
 coder advances many blocks at once, one step of all in each pass. The decoder goes id by id.
 
 Defined results: a null text is a part of length -1 and an empty one of length 0, without ids. A null
@@ -32,11 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import pick, slices
+from quern.llm.text import powers
 
 VOCABULARY, BLOCK, LANES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 16384, 512
 _SPLIT = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_MIX, _STEP = 12, 32
+SLOTS2, SLOTS1, _MIX, _STEP, _UNIT = 3, 6, 11, 64, 240
 U = np.uint64
+_SLOTS = SLOTS2 + SLOTS1
+_CLASSES = (SLOTS2 + 1) * (SLOTS1 + 1) * 8
+#: by class: whether each slot says something; the escape always does
+_THERE = np.concatenate([np.arange(SLOTS2) < np.arange(_CLASSES)[:, None] // 8 // (SLOTS1 + 1), np.arange(SLOTS1) < np.arange(_CLASSES)[:, None] // 8 % (SLOTS1 + 1), np.ones((_CLASSES, 1), bool)], axis=1)
+_PRIOR = np.array([72] * SLOTS2 + [36] * SLOTS1 + [240])
 SCHEMA = "doc_ids array<long>, starts array<long>, lengths array<long>, n_ids long, crc long, n_bytes long, payload binary"
 
 
@@ -44,20 +51,6 @@ SCHEMA = "doc_ids array<long>, starts array<long>, lengths array<long>, n_ids lo
 _CLASS = np.array([0 if b > 127 or chr(b).isalpha() else 1 if chr(b).isdigit() else 3 if b == 32 else 4 if b in b"\t\n\v\f\r\x1c\x1d\x1e\x1f" else 2 for b in range(256)], np.uint8)
 #: characters beyond ASCII that aren't letters, or white space that the byte classes don't know: such texts take the pattern itself
 _ODD = regex.compile(r"[^\x00-\x1b\x20-\x7f\p{L}]")
-_BASE, _INVERSE = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the life of the worker."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 1 << 20), base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def pieces(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where the pattern's pieces begin in texts laid end to end that begin at `first`; the texts have no _ODD characters."""
     n = len(raw)
@@ -129,7 +122,7 @@ class Words:
         first = np.concatenate([[0], np.cumsum([len(d) for d in data])])
         begin = pieces(raw, first[:-1])
         end = np.append(begin[1:], len(raw))
-        up, down = _powers(len(raw) + 1)
+        up, down = powers(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
         hashes = (sums[end] - sums[begin]) * down[begin]
@@ -171,86 +164,96 @@ def words(path: str = VOCABULARY) -> Words:
 
 
 def cuts(n: int) -> list[int]:
-    """Where segments begin: 0, 256, 1024, 2048, 4096, then each 4096."""
-    return [c for c in [0, 256, 1024, 2048, *range(4096, max(n, 4096), 4096)] if c < max(n, 1)]
+    """Where segments begin: 0, 256, 512, 1024, then each 2048."""
+    return [c for c in [0, 256, 512, 1024, *range(2048, max(n, 2048), 2048)] if c < max(n, 1)]
 
 
-def _follow(x: np.ndarray, order: np.ndarray, same: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """For positions `shift`.. of x with sorted contexts: (predicted id or -1, times in a row it has been right, 3 at most)."""
+def _slots(x: np.ndarray) -> np.ndarray:
+    """What each slot says at each position, -1 for nothing: those of order 2 first, the latest first."""
     n = len(x)
-    guess, streak = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    if len(order) > 1:
-        own = x[order + shift].astype(np.int64)
-        before = np.concatenate([[-1], np.where(same, own[:-1], -1)])
-        right = before == own
-        at = np.arange(len(order))
-        run = at - np.maximum.accumulate(np.where(right, 0, at))
-        guess[order + shift] = before
-        streak[order[1:] + shift] = np.where(same, np.minimum(run[:-1], 3), 0)
-    return guess, streak
-
-
-def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order-2 guess, order-1 guess, class) at each position."""
-    n = len(x)
-    o1 = np.argsort(x[:-1], kind="stable") if n > 1 else np.zeros(0, np.int64)
-    k1 = x[:-1][o1]
-    g1, s1 = _follow(x, o1, k1[1:] == k1[:-1], 1)
-    if n > 2:
-        o2 = np.argsort(x[1:-1], kind="stable")
-        o2 = o2[np.argsort(x[:-2][o2], kind="stable")]
-        a, b = x[:-2][o2], x[1:-1][o2]
-        g2, s2 = _follow(x, o2, (a[1:] == a[:-1]) & (b[1:] == b[:-1]), 2)
-    else:
-        g2, s2 = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    return g2, g1, ((g2 >= 0) * (1 + s2) * 5 + (g1 >= 0) * (1 + s1)) * 2 + ((g1 == g2) & (g2 >= 0))
-
-
-def _split(counts: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """(n, 3) frequencies of order 2, order 1 and escape, adding to 1 << _MIX; impossible ones are 0."""
-    may2, may1 = klass // 10 > 0, (klass // 2 % 5 > 0) & (klass % 2 == 0)
-    c = counts + np.array([1, 1, 2])
-    c[:, 0] *= may2
-    c[:, 1] *= may1
-    f = c * ((1 << _MIX) - 3) // c.sum(axis=1, keepdims=True)
-    f[:, 0] = (f[:, 0] + 1) * may2
-    f[:, 1] = (f[:, 1] + 1) * may1
-    f[:, 2] = (1 << _MIX) - f[:, 0] - f[:, 1]
-    return f
+    out = np.full((_SLOTS, n), -1, np.int32)
+    for order, slots, base in ((2, SLOTS2, 0), (1, SLOTS1, SLOTS2)):
+        if n <= order:
+            continue
+        kind = np.uint32 if order == 1 and n <= 1 << 16 else U
+        bits = kind(max(1, (n - 1).bit_length()))
+        key = x[: n - order].astype(kind)
+        if order == 2:
+            key = key << U(16) | x[1 : n - 1].astype(U)
+        key = key << bits | np.arange(n - order, dtype=kind)
+        key.sort()
+        at = (key & ((kind(1) << bits) - kind(1))).astype(np.int64)
+        key >>= bits
+        follow, m = x[at + order].astype(np.int32), len(at)
+        back = np.empty(m, np.int64)
+        back[at] = np.arange(m)
+        said = np.full((slots, m), -1, np.int32)
+        for r in range(1, min(slots, m - 1) + 1):
+            said[r - 1, r:] = np.where(key[r:] == key[:-r], follow[:-r], -1)
+        out[base : base + slots, order:] = said.take(back, axis=1)
+    return out
+
+
+def _classes(g: np.ndarray) -> np.ndarray:
+    there = (g >= 0).view(np.int8)
+    m2, m1 = there[:SLOTS2].sum(axis=0, dtype=np.int8).astype(np.int32), there[SLOTS2:].sum(axis=0, dtype=np.int8).astype(np.int32)
+    return (m2 * (SLOTS1 + 1) + m1) * 8 + ((g[0] == g[1]) & (m2 > 1)) * 4 + ((g[SLOTS2] == g[SLOTS2 + 1]) & (m1 > 1)) * 2 + ((g[0] == g[SLOTS2]) & (m2 > 0))
+
+
+def _weights(credit: np.ndarray) -> np.ndarray:
+    """(..., classes, slots and escape) credits as weights that add to 1 << _MIX; slots that say nothing have 0."""
+    c = (credit + _PRIOR) * _THERE
+    w = (c * ((1 << _MIX) - _SLOTS - 1) // c.sum(axis=-1, keepdims=True) + 1) * _THERE
+    w[..., -1] += (1 << _MIX) - w.sum(axis=-1)
+    return w
 
 
 def model(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The coder's step for each id of a block: (cumulative, frequency, total)."""
-    n = len(x)
-    g2, g1, klass = _classes(x)
-    y = np.where(x == g2, 0, np.where(x == g1, 1, 2))
+    n, wide = len(x), _SLOTS + 1
+    g = _slots(x)
+    hit = g == x.astype(np.int32)
+    number = hit.view(np.int8).sum(axis=0, dtype=np.int8)
+    known = number > 0
+    escape = np.flatnonzero(~known)
     begin = cuts(n)
     count = len(begin)
-    slot = np.repeat(np.arange(count), np.diff([*begin, n])) * 50 + klass
-    seen = np.bincount(slot * 3 + y, minlength=count * 150).reshape(count, 50, 3)
-    seen = np.concatenate([np.zeros((1, 50, 3), np.int64), seen.cumsum(axis=0)[:-1]])
-    f = _split(seen.reshape(-1, 3), np.tile(np.arange(50), count))
-    total = np.zeros(n, np.int64)
-    part = np.ones(n, np.int64)
-    low = np.zeros(n, np.int64)
-    escape = np.flatnonzero(y == 2)
+    place = np.repeat(np.arange(count), np.diff([*begin, n])) * _CLASSES + _classes(g)
+    found = [np.flatnonzero(h) for h in hit]
+    slot, at = np.repeat(np.arange(_SLOTS), [len(f) for f in found]), np.concatenate(found)
+    where = place[at] * wide + slot
+    credit = np.bincount(where, (_UNIT // np.maximum(number, 1).astype(np.int32))[at], minlength=count * _CLASSES * wide).astype(np.int64).reshape(-1, wide)
+    credit[:, -1] = np.bincount(place[escape], minlength=len(credit)) * _UNIT
+    credit = credit.reshape(count, _CLASSES, wide)
+    credit = np.concatenate([np.zeros((1, _CLASSES, wide), np.int64), credit.cumsum(axis=0)[:-1]])
+    w = _weights(credit).reshape(-1, wide)
+    first = np.full(n, _SLOTS, np.int8)
+    first[at[::-1]] = slot[::-1]  # the lowest is written last
+    freq = np.bincount(at, w.ravel()[where], minlength=n).astype(np.int64)
+    freq[escape] = w[place[escape], _SLOTS]
+    before = (w.cumsum(axis=1) - w).ravel()[place * wide + first]
+    # a slot behind the first that is right may say what one before it says: it is counted with that one
+    late = np.flatnonzero(known & (first > 0))
+    own, until = g.take(late, axis=1), first[late]
+    same = np.zeros((_SLOTS, len(late)), bool)
+    for t in range(_SLOTS - 1):
+        same[t + 1 :] |= (own[t + 1 :] == own[t]) & (until > t)
+    same &= until < np.arange(_SLOTS, dtype=np.int8)[:, None]
+    before[late] += (w.take(place[late], axis=0)[:, :_SLOTS] * same.T).sum(axis=1)
+    total, part, low = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
     edges = np.searchsorted(escape, [*begin, n])
-    counts = np.ones(size, np.int64)
-    sums = np.cumsum(counts)
+    ids = x[escape]
     for j, s in enumerate(begin):
         e = begin[j + 1] if j + 1 < count else n
-        at = escape[edges[j] : edges[j + 1]]
-        own = x[at]
-        part[at] = counts[own]
-        low[at] = sums[own] - part[at]
-        total[s:e] = sums[-1]
-        if len(own) and j + 1 < count:
-            counts += _STEP * np.bincount(own, minlength=size)
-            np.cumsum(counts, out=sums)
-    hit = f.ravel()[slot * 3 + y]
-    before = np.concatenate([np.zeros((len(f), 1), np.int64), f[:, :2].cumsum(axis=1)], axis=1).ravel()[slot * 3 + y]
-    known = y != 2
-    return before * total + np.where(known, 0, low * hit), hit * np.where(known, total, part), total << _MIX
+        order = edges[j] + np.argsort(ids[edges[j] : edges[j + 1]], kind="stable")
+        at, own = escape[order], ids[order]
+        past = np.sort(ids[: edges[j]], kind="stable")  # what order 0 has seen in the segments before
+        left, right = np.searchsorted(past, own), np.searchsorted(past, own, side="right")
+        low[at], part[at] = own.astype(np.int64) + _STEP * left, 1 + _STEP * (right - left)
+        total[s:e] = size + _STEP * len(past)
+    cum = before * total
+    cum[escape] += low[escape] * freq[escape]
+    return cum, freq * np.where(known, total, part), total << _MIX
 
 
 _TOP, _BOT, _MASK = U(1 << 48), U(1 << 32), U((1 << 32) - 1)
@@ -338,45 +341,51 @@ def decode(payload: bytes, n: int, size: int, crc: int | None = None) -> np.ndar
 
     out: list[int] = []
     begin = set(cuts(n))
-    counts, sums = np.ones(size, np.int64), None
+    counts, sums, total = np.ones(size, np.int64), None, 0
     fresh: list[int] = []
-    mix = np.zeros((50, 3), np.int64)
-    later = np.zeros((50, 3), np.int64)
-    last1: dict[int, list[int]] = {}
-    last2: dict[tuple[int, int], list[int]] = {}
-    f = None
+    credit, later = np.zeros((_CLASSES, _SLOTS + 1), np.int64), np.zeros((_CLASSES, _SLOTS + 1), np.int64)
+    seen: tuple[dict, dict] = ({}, {})  # of order 2 and 1: what followed each context, the latest first
+    w: list = []
     for t in range(n):
         if t in begin:
-            mix += later
+            credit += later
             later[:] = 0
-            f = _split(mix.copy(), np.arange(50)).tolist()
+            w = _weights(credit).tolist()
             if fresh:
                 counts += _STEP * np.bincount(fresh, minlength=size)
                 fresh = []
             sums = np.cumsum(counts)
             total = int(sums[-1])
-        p1 = last1.get(out[-1]) if t else None
-        p2 = last2.get((out[-2], out[-1])) if t > 1 else None
-        klass = ((1 + p2[1]) * 5 if p2 else 0) * 2 + (1 + p1[1] if p1 else 0) * 2 + bool(p1 and p2 and p1[0] == p2[0])
-        y = 2
-        a, b, c = f[klass]
+        keys = (tuple(out[-2:]) if t > 1 else None, out[-1] if t else None)
+        two, one = seen[0].get(keys[0], []), seen[1].get(keys[1], [])
+        said = [*two, *[-1] * (SLOTS2 - len(two)), *one, *[-1] * (SLOTS1 - len(one))]
+        klass = (len(two) * (SLOTS1 + 1) + len(one)) * 8 + (len(two) > 1 and two[0] == two[1]) * 4 + (len(one) > 1 and one[0] == one[1]) * 2 + bool(two and one and two[0] == one[0])
+        own = w[klass]
         span //= total << _MIX
         v = ((value - low) & all64) // span
-        y = 0 if v < a * total else 1 if v < (a + b) * total else 2
-        if y == 2:
-            x = int(np.searchsorted(sums, (v - (a + b) * total) // c, side="right"))
-            settle((a + b) * total + int(sums[x] - counts[x]) * c, c * int(counts[x]))
+        groups: dict[int, int] = {}
+        for c, f in zip(said, own):
+            if c >= 0:
+                groups[c] = groups.get(c, 0) + f
+        at_, x = 0, -1
+        for c, f in groups.items():
+            if v < (at_ + f) * total:
+                x = c
+                settle(at_ * total, f * total)
+                break
+            at_ += f
+        if x < 0:
+            f = own[-1]
+            x = int(np.searchsorted(sums, (v - at_ * total) // f, side="right"))
+            settle(at_ * total + int(sums[x] - counts[x]) * f, f * int(counts[x]))
             fresh.append(x)
+            later[klass, _SLOTS] += _UNIT
         else:
-            x = (p2, p1)[y][0]
-            settle((0, a)[y] * total, f[klass][y] * total)
-        later[klass, y] += 1
-        for last, p, key in ((last1, p1, out[-1] if t else None), (last2, p2, (out[-2], out[-1]) if t > 1 else None)):
-            if p:
-                p[1] = min(3, p[1] + 1) if p[0] == x else 0
-                p[0] = x
-            elif key is not None:
-                last[key] = [x, 0]
+            right = [i for i, c in enumerate(said) if c == x]
+            later[klass, right] += _UNIT // len(right)
+        for known, key, most in ((seen[0], keys[0], SLOTS2), (seen[1], keys[1], SLOTS1)):
+            if key is not None:
+                known[key] = [x, *known.get(key, [])[: most - 1]]
         out.append(x)
     got = np.array(out, np.uint16)
     if crc is not None and zlib.crc32(got.astype("<u2").tobytes()) != crc:
@@ -426,7 +435,7 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) ->
         if full:
             yield emit()
 
-    return pick(docs, k="doc_id", t="text").select(F.col("k").cast("long"), "t").mapInArrow(run, SCHEMA)
+    return pick(docs, k="doc_id", t="text").select(F.col("k").try_cast("long").alias("k"), "t").mapInArrow(run, SCHEMA)
 
 
 def read(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
