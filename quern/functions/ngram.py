@@ -54,6 +54,7 @@ def _weights() -> np.ndarray:
 
 
 WEIGHTS = _weights()
+_NARROW = WEIGHTS.astype(np.uint8)
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -93,24 +94,23 @@ def spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _longer(raw: np.ndarray, ends: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the n-grams of four bytes and more. three: where three bytes begin that lie in one text."""
-    w = WEIGHTS[raw[:-1], raw[1:]].astype(np.uint8)
+    w = _NARROW[raw[:-1], raw[1:]]
     kept = w[three] > w[np.minimum(three + 1, len(w) - 1)]
     at = three[kept].astype(np.int32)
     outer, inside = w[at], w[at + 1]
     room = (ends[at] - at).astype(np.int32)
     starts, lengths = [], []
+    keep = np.flatnonzero(room >= 4)
     for size in range(4, LONGEST + 1):  # inside: the most of the pairs between; it stays below the first pair
-        keep = room >= size
-        at, outer, inside, room = at[keep], outer[keep], inside[keep], room[keep]
+        at, outer, inside, room = at.take(keep), outer.take(keep), inside.take(keep), room.take(keep)
         if not len(at):
             break
-        last = w[at + (size - 2)]
+        last = w.take(at + (size - 2))
         ok = at[inside < last]
         starts.append(ok)
         lengths.append(np.full(len(ok), size, np.int32))
         inside = np.maximum(inside, last)
-        keep = inside < outer
-        at, outer, inside, room = at[keep], outer[keep], inside[keep], room[keep]
+        keep = np.flatnonzero((inside < outer) & (room > size))
     empty = [np.zeros(0, np.int32)]
     return np.concatenate(starts or empty).astype(np.int64), np.concatenate(lengths or empty).astype(np.int64)
 
@@ -122,12 +122,13 @@ def _hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return _mix((sums[start + length] - sums[start]) * down[start] + _mix(length.astype(U)))
 
 
-#: A gram's key is of 48 bits. Two grams of one key only make a document a candidate in vain.
-_BITS, MOST_ROWS = 16, 1 << 16
+#: A gram's key is of 48 bits. Two grams of one key only make a document a candidate in vain. PIECE: bytes of text that are
+#: worked on at once, so that what is needed beside the result doesn't grow with the texts.
+_BITS, MOST_ROWS, PIECE = 16, 1 << 16, 1 << 18
 
 
-def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of the distinct n-grams of each value of a binary column of at most MOST_ROWS values, by key and row."""
+def codes(column: pa.Array) -> np.ndarray:
+    """key << _BITS | row of the distinct n-grams of each value of a binary column of at most MOST_ROWS values, in order."""
     if len(column) > MOST_ROWS:
         raise ValueError("too many values at once")
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -135,24 +136,58 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     low, n = int(offsets[0]), int(offsets[-1] - offsets[0])
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U)
     offsets = offsets - low
     raw = np.frombuffer(data, np.uint8)[low : low + n]
-    size = np.diff(offsets)
-    row = np.repeat(np.arange(len(column), dtype=np.uint16), size)
-    ends = np.repeat(offsets[1:], size)
-    two = np.flatnonzero(row[:-1] == row[1:])
+    kept = []
+    for a in range(0, n, PIECE):
+        z = min(a + PIECE + LONGEST - 1, n)  # an n-gram belongs to the piece that it begins in
+        first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, z, "left"))
+        edge = np.clip(offsets[first : last + 1], a, z) - a
+        size = np.diff(edge)
+        kept.append(_codes(raw[a:z], np.repeat(np.arange(first, last, dtype=np.uint16), size), np.repeat(edge[1:].astype(np.int32), size), min(PIECE, n - a)))
+    return kept[0] if len(kept) == 1 else _distinct(np.concatenate(kept))
+
+
+def _codes(raw: np.ndarray, row: np.ndarray, ends: np.ndarray, starts: int) -> np.ndarray:
+    """The same of a piece, for n-grams that begin in its first bytes. row, ends: for each byte."""
+    two = np.flatnonzero(row[:-1] == row[1:]).astype(np.int32)
+    two = two[: np.searchsorted(two, starts)]
     three = two[ends[two] - two >= 3]
     code = raw[:-1].astype(np.uint32) << 8 | raw[1:]
     s, m = _longer(raw, ends, three)
     parts = ((two, _short(2)[code[two]]), (three, _mix(code[three].astype(U) << U(8) | raw[three + 2] | U(3 << 32))), (s, _hashes(raw, s, m)))
     mask = U(((1 << 48) - 1) << _BITS)
-    both = np.concatenate([h & mask | row[at] for at, h in parts])
+    return _distinct(np.concatenate([h & mask | row[at] for at, h in parts]))
+
+
+def _distinct(both: np.ndarray) -> np.ndarray:
     both.sort()
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
+def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the distinct n-grams of each value of a binary column of at most MOST_ROWS values, by key and row."""
+    return parted(codes(column))
+
+
+def parted(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of codes()."""
     return (both >> U(_BITS)).astype(np.int64), (both & U(MOST_ROWS - 1)).astype(np.int64)
 
 
+def edges(both: np.ndarray) -> np.ndarray:
+    """Where each key of codes() begins, and the end."""
+    if not len(both):
+        return np.zeros(1, np.int64)
+    new = np.empty(len(both), bool)
+    new[0] = True
+    for a in range(1, len(both), PIECE):
+        x = both[a - 1 : a + PIECE] >> U(_BITS)
+        new[a : a + PIECE] = x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), len(both))
+
+
 _PAIRS: list[np.ndarray] = []
 
 

@@ -3,13 +3,14 @@
     <root>/state-<n>.json           the states; the highest n counts
     <root>/after-<n>                who may write the state that follows n
     <root>/gen-<id>/files           the base's manifest
-    <root>/gen-<id>/postings        (gram, shard, n, docs, paths, origins)
+    <root>/gen-<id>/postings        (gram, shard, n, docs, paths, origins, often)
     <root>/over-<id>/...            an overlay, with its changes
 
 A shard is some megabytes of neighbouring texts. Each of its n-grams has one row with the places in the shard of the
 texts that have it, by n-gram, so building shuffles no texts and a frequent n-gram costs a row per shard, not one per
 text. A lookup scans with n-grams pushed down to the pages, meets by shard, and ends in places that the shard's head
-row (gram -1) turns into paths.
+row (gram -1) turns into paths. `often` has the n-grams of over a quarter of a shard's texts, for a head: what is in a
+quarter of all texts is among them in some shard, so the common n-grams are counted without a shuffle of the others.
 
 A writer adds the state that follows the one it began from, or fails with Conflict; nothing is held while it works,
 so one that dies blocks nobody. root may be any path that Spark can write to. The index only narrows down what is
@@ -27,7 +28,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ngram
@@ -41,7 +42,9 @@ SHARD, SPREAD = 8 << 20, 1 << 30
 #: Candidates up to FEW go into the scan as a list; n-grams in more than 1 / COMMON of the files (and in LEAST_COMMON at least) aren't looked up.
 FEW, COMMON, LEAST_COMMON = 2000, 4, 64
 HEAD = -1
-_POSTINGS = "gram long, shard long, n int, docs array<int>, paths array<string>, origins array<string>"
+#: Places that go from Python to Spark at once.
+ROWS = 1 << 18
+_POSTINGS = "gram long, shard long, n int, docs array<int>, paths array<string>, origins array<string>, often array<long>"
 CLAIM_SECONDS = 60
 
 
@@ -72,8 +75,10 @@ def extract(files: DataFrame) -> DataFrame:
     def run(batches):
         for part in _texts(batches):
             t = pa.Table.from_batches(part).combine_chunks()
-            row, key = ngram.grams(t.column(1).combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t.column(0).to_numpy()[row])], names=["gram", "file_id"])
+            both, ids = ngram.codes(t.column(1).combine_chunks()), t.column(0).to_numpy()
+            for at in range(0, len(both), ROWS):
+                key, row = ngram.parted(both[at : at + ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], names=["gram", "file_id"])
 
     return files.select("file_id", F.col("content").cast("binary").alias("content")).where("content is not null").mapInArrow(run, "gram long, file_id long")
 
@@ -81,20 +86,24 @@ def extract(files: DataFrame) -> DataFrame:
 def _shards(batches):
     """(file_path, content, origin) to rows of _POSTINGS: per shard a head and one row for each n-gram."""
     names = [x.split()[0] for x in _POSTINGS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
     for part in _texts(batches):
         t = pa.Table.from_batches(part).combine_chunks()
         paths, origins = t.column(0).to_pylist(), t.column(2).to_pylist()
-        key, row = ngram.packed(t.column(1).combine_chunks())
-        shard = xxhash.xxh3_64_intdigest(key.tobytes(), xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], [None], [paths], [origins]), types)], names=names)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        edge = np.append(first, len(key))
-        for s in range(0, len(first), 1 << 17):
-            e = min(s + (1 << 17), len(first))
-            docs = pa.ListArray.from_arrays(pa.array((edge[s : e + 1] - edge[s]).astype(np.int32)), pa.array(row[edge[s] : edge[e]].astype(np.int32)))
+        both = ngram.codes(t.column(1).combine_chunks())
+        shard = xxhash.xxh3_64_intdigest(both.tobytes(), xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
+        edge = ngram.edges(both)
+        often = ngram.parted(both[edge[:-1][np.diff(edge) * COMMON > len(paths)]])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], [None], [paths], [origins], [often]), types)], names=names)
+        s = 0
+        while s < len(edge) - 1:  # rows of so many places at most, or of one n-gram
+            e = max(s + 1, int(np.searchsorted(edge, edge[s] + ROWS, "right")) - 1)
+            key, row = ngram.parted(both[edge[s] : edge[e]])
+            at = edge[s : e + 1] - edge[s]
+            docs = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(row.astype(np.int32)))
             none = [pa.nulls(e - s, k) for k in types[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[first[s:e]]), pa.array(np.full(e - s, shard)), pa.array(np.diff(edge[s : e + 1]).astype(np.int32)), docs, *none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]]), pa.array(np.full(e - s, shard)), pa.array(np.diff(at).astype(np.int32)), docs, *none], names=names)
+            s = e
 
 
 def manifest(corpus: DataFrame) -> DataFrame:
@@ -117,17 +126,23 @@ def _spread(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(spark.sparkContext.defaultParallelism) if int(str(estimate)) < SPREAD else corpus
 
 
-def _write(rows: DataFrame, folder: str) -> dict:
-    """Writes files and postings; how many files and distinct n-grams, and the common ones."""
-    spark = rows.sparkSession
-    rows.drop("content").write.parquet(f"{folder}/files")
-    rows.where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.parquet(f"{folder}/postings")
+def _write(corpus: DataFrame, folder: str) -> dict:
+    """Writes files and postings; how many files, and the common n-grams."""
+    spark = corpus.sparkSession
+    manifest(corpus).drop("content").write.parquet(f"{folder}/files")
+    manifest(_spread(corpus)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.option("parquet.enable.dictionary#gram", "false").parquet(f"{folder}/postings")
     files = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).count()
-    least = max(LEAST_COMMON, files // COMMON)
-    grams = spark.read.parquet(f"{folder}/postings").where(F.col("gram") != HEAD).groupBy("gram").agg(F.sum("n").alias("n"))
-    # a text has so many n-grams, so those in a quarter of all texts are few, whatever the number of texts
-    got = grams.agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("n") > least, F.col("gram"))).alias("common")).first()
-    return {"folder": folder.rsplit("/", 1)[-1], "files": files, "grams": got.n, "common": sorted(got.common)}
+    return {"folder": folder.rsplit("/", 1)[-1], "files": files, "common": _common(spark.read.parquet(f"{folder}/postings"), max(LEAST_COMMON, files // COMMON))}
+
+
+def _common(rows: DataFrame, least: int) -> list[int]:
+    """The n-grams of more than `least` texts, a quarter of all at least. A text has so many n-grams, so those in a
+    quarter of the texts of some shard are few, whatever the number of texts; only they are counted."""
+    often = [r.gram for r in rows.where(F.col("gram") == HEAD).select(F.explode("often").alias("gram")).distinct().collect()]
+    if not often:
+        return []
+    counts = rows.where(F.col("gram").isin(often)).groupBy("gram").agg(F.sum("n").alias("n"))
+    return sorted(r.gram for r in counts.where(F.col("n") > least).collect())
 
 
 def current(root: str, spark: SparkSession | None = None) -> dict | None:
@@ -157,7 +172,7 @@ def _commit(spark: SparkSession, root: str, state: dict, before: dict | None) ->
 
 def build(corpus: DataFrame, root: str, commit: str | None = None) -> dict:
     spark, before = corpus.sparkSession, current(root, corpus.sparkSession)
-    base = _write(manifest(_spread(corpus)), f"{root}/gen-{uuid.uuid4().hex}")
+    base = _write(corpus, f"{root}/gen-{uuid.uuid4().hex}")
     return _commit(spark, root, {"version": VERSION, "time": time.time(), "commit": commit, "base": base, "overlay": None, "tombstones": 0}, before)
 
 
@@ -208,7 +223,7 @@ def update(corpus: DataFrame, root: str, listing: DataFrame | None = None, fetch
     if counts:
         state["tombstones"] = counts.get("changed", 0) + counts.get("deleted", 0)
         fresh = diff.where("change != 'deleted'").select("file_path")
-        state["overlay"] = _write(manifest(fetch(fresh) if fetch else corpus.join(fresh, "file_path", "left_semi")), f"{root}/{folder}")
+        state["overlay"] = _write(fetch(fresh) if fetch else corpus.join(fresh, "file_path", "left_semi"), f"{root}/{folder}")
     return _commit(spark, root, state, before)
 
 
@@ -234,9 +249,17 @@ def status(spark: SparkSession, root: str) -> DataFrame:
     s = current(root, spark)
     if s is None:
         raise FileNotFoundError(f"no index at {root}")
-    over = s["overlay"] or {"files": 0, "grams": 0}
-    row = (s["version"], s["base"]["files"], s["base"]["grams"], over["files"], over["grams"], s["tombstones"], age_label(time.time() - s["time"]), (s["commit"] or "")[:7] or None)
-    return spark.createDataFrame([row], "version int, files long, grams long, overlay_files long, overlay_grams long, tombstones long, age string, commit string")
+    over = s["overlay"] or {"files": 0}
+    row = (s["version"], s["base"]["files"], over["files"], s["tombstones"], age_label(time.time() - s["time"]), (s["commit"] or "")[:7] or None)
+    out = spark.createDataFrame([row], "version int, files long, overlay_files long, tombstones long, age string, commit string")
+    return out.select("version", "files", _grams(spark, root, s["base"]).alias("grams"), "overlay_files", _grams(spark, root, s["overlay"]).alias("overlay_grams"), "tombstones", "age", "commit")
+
+
+def _grams(spark: SparkSession, root: str, part: dict | None) -> Column:
+    """How many distinct n-grams a part has, counted where the column is asked for."""
+    if not part:
+        return F.lit(0).cast("long")
+    return postings(spark, root, part).where(F.col("gram") != HEAD).agg(F.count_distinct("gram")).scalar()
 
 
 def postings(spark: SparkSession, root: str, part: dict) -> DataFrame:
