@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,9 +80,19 @@ def unescaped(text: str) -> bytes:
     return re.sub("[\U0010fe80-\U0010feff\U0010ff80-\U0010ffff]", lambda m: chr(0xDC00 + (ord(m[0]) & 0xFF)), text).encode("utf-8", "surrogateescape")
 
 
-@F.pandas_udf(T.StringType())
-def _escape(raw: pd.Series) -> pd.Series:
-    return raw.map(escaped, na_action="ignore")
+def each(f: Callable[[bytes], bytes], kind: T.DataType):
+    """f as a function of columns. Of a batch one text at a time is a Python object; what is kept of it are bytes. It counts
+    as not deterministic, as Spark would run it once more for each filter that it moves before it."""
+
+    def run(column: pa.Array) -> pa.Array:
+        done = [None if x is None else f(x) for x in (v.as_buffer() if v.is_valid else None for v in column)]
+        return pa.array(done, pa.binary()).cast(pa.string() if kind == T.StringType() else pa.binary())
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
+_escape = each(lambda raw: escaped(raw.to_pybytes()).encode(), T.StringType())
 
 
 def shown(text: str | Column, odd: str | Column | None) -> Column:
