@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import regex as rx
-from quern.operators.search import SearchOptions, admits, effective, filtered, is_binary, shown, text_of, unescaped
+from quern.operators.search import SearchOptions, admits, each, effective, filtered, is_binary, shown, text_of, unescaped
 
 
 def _made(pattern: str, replacement: str, o: SearchOptions) -> tuple[rx.Regex, Column]:
@@ -18,9 +17,7 @@ def _made(pattern: str, replacement: str, o: SearchOptions) -> tuple[rx.Regex, C
     return regex, F.regexp_replace("content", F.lit(regex.java()), F.lit(rx.java_template(list(parts), regex)))
 
 
-@F.pandas_udf(T.BinaryType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(unescaped, na_action="ignore")
+_unescape = each(lambda text: unescaped(text.to_pybytes().decode()), T.BinaryType())
 
 
 def _bytes(text: Column, odd: str | None) -> Column:
