@@ -146,7 +146,14 @@ def codes(column: pa.Array) -> np.ndarray:
         edge = np.clip(offsets[first : last + 1], a, z) - a
         size = np.diff(edge)
         kept.append(_codes(raw[a:z], np.repeat(np.arange(first, last, dtype=np.uint16), size), np.repeat(edge[1:].astype(np.int32), size), min(PIECE, n - a)))
-    return kept[0] if len(kept) == 1 else _distinct(np.concatenate(kept))
+    if len(kept) == 1:
+        return kept[0]
+    both, at = np.empty(sum(map(len, kept)), U), 0
+    while kept:
+        x = kept.pop()
+        both[at : at + len(x)] = x
+        at += len(x)
+    return _distinct(both)
 
 
 def _codes(raw: np.ndarray, row: np.ndarray, ends: np.ndarray, starts: int) -> np.ndarray:
@@ -163,7 +170,8 @@ def _codes(raw: np.ndarray, row: np.ndarray, ends: np.ndarray, starts: int) -> n
 
 def _distinct(both: np.ndarray) -> np.ndarray:
     both.sort()
-    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    new = both[1:] != both[:-1]
+    return both if new.all() else both[np.concatenate([[True], new])]
 
 
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
