@@ -42,6 +42,8 @@ SHARD, SPREAD = 8 << 20, 1 << 30
 #: Candidates up to FEW go into the scan as a list; n-grams in more than 1 / COMMON of the files (and in LEAST_COMMON at least) aren't looked up.
 FEW, COMMON, LEAST_COMMON = 2000, 4, 64
 HEAD = -1
+#: Up to MANY paths are looked for in a corpus by a broadcast set of their hashes (some 24 MB).
+MANY = 1 << 20
 #: Places that go from Python to Spark at once.
 ROWS = 1 << 18
 _POSTINGS = "gram long, shard long, n int, docs array<int>, paths array<string>, origins array<string>, often array<long>"
@@ -91,7 +93,7 @@ def _shards(batches):
         t = pa.Table.from_batches(part).combine_chunks()
         paths, origins = t.column(0).to_pylist(), t.column(2).to_pylist()
         both = ngram.codes(t.column(1).combine_chunks())
-        shard = xxhash.xxh3_64_intdigest(both.tobytes(), xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
+        shard = xxhash.xxh3_64_intdigest(both.data, xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
         edge = ngram.edges(both)
         often = ngram.parted(both[edge[:-1][np.diff(edge) * COMMON > len(paths)]])[0]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], [None], [paths], [origins], [often]), types)], names=names)
@@ -130,7 +132,7 @@ def _write(corpus: DataFrame, folder: str) -> dict:
     """Writes files and postings; how many files, and the common n-grams."""
     spark = corpus.sparkSession
     manifest(corpus).drop("content").write.parquet(f"{folder}/files")
-    manifest(_spread(corpus)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.option("parquet.enable.dictionary#gram", "false").parquet(f"{folder}/postings")
+    manifest(_spread(corpus)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**{"parquet.enable.dictionary#gram": "false", "parquet.writer.version": "v2"}).parquet(f"{folder}/postings")
     files = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).count()
     return {"folder": folder.rsplit("/", 1)[-1], "files": files, "common": _common(spark.read.parquet(f"{folder}/postings"), max(LEAST_COMMON, files // COMMON))}
 
@@ -198,6 +200,15 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "file_path", "full_outer").select("file_path", kind.alias("change")).where("change is not null")
 
 
+def _near(corpus: DataFrame, paths: DataFrame, n: int) -> DataFrame:
+    """The rows of these n paths, perhaps with some others (of equal hashes, or all where the paths are more than MANY):
+    no text is shuffled."""
+    if n > MANY:
+        return corpus
+    ids = paths.select(F.xxhash64("file_path").alias("quern__id")).distinct()
+    return corpus.join(F.broadcast(ids), F.xxhash64(corpus["file_path"]) == ids["quern__id"], "left_semi")
+
+
 def update(corpus: DataFrame, root: str, listing: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, commit: str | None = None) -> dict:
     """Makes the overlay anew from what differs from the base; without a base builds one.
 
@@ -223,7 +234,8 @@ def update(corpus: DataFrame, root: str, listing: DataFrame | None = None, fetch
     if counts:
         state["tombstones"] = counts.get("changed", 0) + counts.get("deleted", 0)
         fresh = diff.where("change != 'deleted'").select("file_path")
-        state["overlay"] = _write(fetch(fresh) if fetch else corpus.join(fresh, "file_path", "left_semi"), f"{root}/{folder}")
+        near = lambda: _near(corpus, fresh, counts.get("changed", 0) + counts.get("added", 0))
+        state["overlay"] = _write(fetch(fresh) if fetch else near().join(fresh, "file_path", "left_semi"), f"{root}/{folder}")
     return _commit(spark, root, state, before)
 
 
