@@ -337,7 +337,8 @@ def search(corpus: DataFrame, root: str, pattern: str | list[str], options: se.S
 
     `fetch` reads the texts of a DataFrame of paths (file trees). Otherwise up to FEW candidates go into the scan of
     the corpus as a list, which comes before the pattern and prunes what `file_path` and `origin` let the source prune
-    (origin: a column of the corpus that names the file of a row, i.e. _metadata.file_path); more are joined."""
+    (origin: a column of the corpus that names the file of a row, i.e. _metadata.file_path); more are joined by a set of
+    their hashes, and beyond MANY all texts are searched, as shuffling them would take longer than the pattern."""
     o = options or se.SearchOptions()
     spark = corpus.sparkSession
     if auto_index and current(root, spark) is None:
@@ -356,6 +357,9 @@ def search(corpus: DataFrame, root: str, pattern: str | list[str], options: se.S
         if few and "origin" in corpus.columns and all(r.origin for r in few):
             left = left.where(F.col("origin").isin(sorted({r.origin for r in few})))
         return se.search(left, pattern, o)
+    n = found.count()
+    if n > MANY:
+        return se.search(corpus, pattern, o)
     # a number that the optimiser can't move keeps the pattern behind the join
-    left = corpus.join(found.select("file_path"), "file_path", "left_semi").withColumn("quern__at", F.monotonically_increasing_id())
+    left = _near(corpus, found, n).withColumn("quern__at", F.monotonically_increasing_id())
     return se.search(left.where("quern__at >= 0"), pattern, o)
