@@ -54,14 +54,14 @@ class Conflict(RuntimeError):
     """Another writer was faster; nothing was changed."""
 
 
-def _texts(batches):
-    """Slices of about SHARD bytes of the batches' binary second column, null rows left out; slices run over batches."""
-    kept, total = [], 0
+def _texts(batches, most: int | None = None):
+    """Slices of about `most` (SHARD) bytes of the batches' binary second column, null rows left out; slices run over batches."""
+    kept, total, most = [], 0, most or SHARD
     for b in batches:
         size = np.diff(np.frombuffer(b.column(1).cast(pa.large_binary()).buffers()[1], np.int64)[b.column(1).offset :][: b.num_rows + 1]) if b.num_rows else np.zeros(0, np.int64)
         begin = 0
         for i, n in enumerate(size.tolist()):
-            if total and (total + n > SHARD or sum(len(x) for x in kept) + i - begin >= ngram.MOST_ROWS):
+            if total and (total + n > most or sum(len(x) for x in kept) + i - begin >= ngram.MOST_ROWS):
                 yield [*kept, b.slice(begin, i - begin)]
                 kept, total, begin = [], 0, i
             total += n
@@ -75,7 +75,7 @@ def extract(files: DataFrame) -> DataFrame:
     """(file_id, gram): the distinct n-grams of each text of (file_id, content)."""
 
     def run(batches):
-        for part in _texts(batches):
+        for part in _texts(batches, SHARD // 8):  # no row is shared by texts, so slices may be small
             t = pa.Table.from_batches(part).combine_chunks()
             both, ids = ngram.codes(t.column(1).combine_chunks()), t.column(0).to_numpy()
             for at in range(0, len(both), ROWS):
