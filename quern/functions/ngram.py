@@ -71,9 +71,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
-    x = (x ^ (x >> U(27))) * U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U(33))
+    return _mixed(x.copy())
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """_mix in place."""
+    for shift, by in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+        x ^= x >> U(shift)
+        x *= U(by)
+    x ^= x >> U(33)
+    return x
+
+
+#: by length; a key of one length isn't a key of another
+_LENGTHS = _mix(np.arange(LONGEST + 1, dtype=U))
 
 
 def pair_weights(data: bytes) -> np.ndarray:
@@ -88,38 +99,55 @@ def spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     two = np.flatnonzero(ends[:-1] - np.arange(n - 1) >= 2)
     three = two[ends[two] - two >= 3]
-    s, m = _longer(raw, ends, three)
+    w = _NARROW[raw[:-1], raw[1:]]
+    w[ends[:-1] - np.arange(n - 1) < 2] = _APART
+    s, m = _longer(w, n - 1)
     return np.concatenate([two, three, s]), np.concatenate([np.full(len(two), 2), np.full(len(three), 3), m])
 
 
-def _longer(raw: np.ndarray, ends: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the n-grams of four bytes and more. three: where three bytes begin that lie in one text."""
-    w = _NARROW[raw[:-1], raw[1:]]
-    kept = w[three] > w[np.minimum(three + 1, len(w) - 1)]
-    at = three[kept].astype(np.int32)
-    outer, inside = w[at], w[at + 1]
-    room = (ends[at] - at).astype(np.int32)
-    starts, lengths = [], []
-    keep = np.flatnonzero(room >= 4)
-    for size in range(4, LONGEST + 1):  # inside: the most of the pairs between; it stays below the first pair
-        at, outer, inside, room = at.take(keep), outer.take(keep), inside.take(keep), room.take(keep)
-        if not len(at):
-            break
+#: The weight of a pair of two texts' bytes, above all others; from DENSE on of the places being left, all are looked at.
+_APART, _DENSE = 255, 1 / 16
+
+
+def _longer(w: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the n-grams of four bytes and more that begin at the first places. w: the weights of the pairs."""
+    w = np.concatenate([w, np.full(LONGEST, _APART, np.uint8)])
+    outer, inside = w[:begin], w[1 : begin + 1].copy()
+    live = inside < outer
+    live &= outer < _APART
+    starts, lengths, size = [], [], 4
+    while size <= LONGEST and np.count_nonzero(live) > begin * _DENSE:  # inside: the most of the pairs between; it stays below the first pair
+        last = w[size - 2 : size - 2 + begin]
+        ok = inside < last
+        ok &= live
+        ok &= last < _APART
+        starts.append(np.flatnonzero(ok))
+        lengths.append(size)
+        np.maximum(inside, last, out=inside)
+        live &= inside < outer
+        size += 1
+    at = np.flatnonzero(live)
+    outer, inside = outer.take(at), inside.take(at)
+    while size <= LONGEST and len(at):
         last = w.take(at + (size - 2))
-        ok = at[inside < last]
-        starts.append(ok)
-        lengths.append(np.full(len(ok), size, np.int32))
+        starts.append(at[(inside < last) & (last < _APART)])
+        lengths.append(size)
         inside = np.maximum(inside, last)
-        keep = np.flatnonzero((inside < outer) & (room > size))
-    empty = [np.zeros(0, np.int32)]
-    return np.concatenate(starts or empty).astype(np.int64), np.concatenate(lengths or empty).astype(np.int64)
+        keep = np.flatnonzero(inside < outer)
+        at, outer, inside = at.take(keep), outer.take(keep), inside.take(keep)
+        size += 1
+    return np.concatenate([np.zeros(0, np.int64), *starts]), np.repeat(np.array(lengths, np.int64), [len(x) for x in starts])
 
 
 def _hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U)
     np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)], out=sums[1:])
-    return _mix((sums[start + length] - sums[start]) * down[start] + _mix(length.astype(U)))
+    h = sums.take(start + length)
+    h -= sums.take(start)
+    h *= down.take(start)
+    h += _LENGTHS.take(length)
+    return _mixed(h)
 
 
 #: A gram's key is of 48 bits. Two grams of one key only make a document a candidate in vain. PIECE: bytes of text that are
@@ -145,7 +173,7 @@ def codes(column: pa.Array) -> np.ndarray:
         first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, z, "left"))
         edge = np.clip(offsets[first : last + 1], a, z) - a
         size = np.diff(edge)
-        kept.append(_codes(raw[a:z], np.repeat(np.arange(first, last, dtype=np.uint16), size), np.repeat(edge[1:].astype(np.int32), size), min(PIECE, n - a)))
+        kept.append(_codes(raw[a:z], np.repeat(np.arange(first, last, dtype=np.uint16), size), min(PIECE, n - a)))
     if len(kept) == 1:
         return kept[0]
     both, at = np.empty(sum(map(len, kept)), U), 0
@@ -156,20 +184,39 @@ def codes(column: pa.Array) -> np.ndarray:
     return _distinct(both)
 
 
-def _codes(raw: np.ndarray, row: np.ndarray, ends: np.ndarray, starts: int) -> np.ndarray:
-    """The same of a piece, for n-grams that begin in its first bytes. row, ends: for each byte."""
-    two = np.flatnonzero(row[:-1] == row[1:]).astype(np.int32)
-    two = two[: np.searchsorted(two, starts)]
-    three = two[ends[two] - two >= 3]
-    code = raw[:-1].astype(np.uint32) << 8 | raw[1:]
-    s, m = _longer(raw, ends, three)
-    parts = ((two, _short(2)[code[two]]), (three, _mix(code[three].astype(U) << U(8) | raw[three + 2] | U(3 << 32))), (s, _hashes(raw, s, m)))
+def _codes(raw: np.ndarray, row: np.ndarray, starts: int) -> np.ndarray:
+    """The same of a piece, for n-grams that begin in its first bytes. row: for each byte."""
+    pairs, threes = (max(min(starts, len(raw) - k), 0) for k in (1, 2))
+    code = raw[:-1].astype(np.int64)
+    code <<= 8
+    code |= raw[1:]
+    w = _NARROW.ravel().take(code)
+    apart = np.flatnonzero(row[:-1] != row[1:])  # the last bytes of texts
+    w[apart] = _APART
+    s, m = _longer(w, pairs)
     mask = U(((1 << 48) - 1) << _BITS)
-    return _distinct(np.concatenate([h & mask | row[at] for at, h in parts]))
-
-
-def _distinct(both: np.ndarray) -> np.ndarray:
+    both = np.empty(pairs + threes + len(s), U)
+    _short(2).take(code[:pairs], out=both[:pairs], mode="clip")
+    three = both[pairs : pairs + threes]
+    np.left_shift(code[:threes].view(U), U(8), out=three)
+    three |= raw[2 : threes + 2]
+    three |= U(3 << 32)
+    _mixed(three)
+    both[pairs + threes :] = _hashes(raw, s, m)
+    both &= mask
+    both[:pairs] |= row[:pairs]
+    three |= row[:threes]
+    both[pairs + threes :] |= row.take(s)
+    # what lies in two texts goes to the end
+    none = np.unique(np.concatenate([apart[apart < pairs], apart[apart < threes] + pairs, apart[(apart > 0) & (apart <= threes)] + (pairs - 1)]))
+    both[none] = ~U(0)
+    return _distinct(both, len(none))
+
+
+def _distinct(both: np.ndarray, less: int = 0) -> np.ndarray:
+    """In order, each once; without so many of the last."""
     both.sort()
+    both = both[: len(both) - less]
     new = both[1:] != both[:-1]
     return both if new.all() else both[np.concatenate([[True], new])]
 

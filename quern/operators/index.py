@@ -3,14 +3,17 @@
     <root>/state-<n>.json           the states; the highest n counts
     <root>/after-<n>                who may write the state that follows n
     <root>/gen-<id>/files           the base's manifest
-    <root>/gen-<id>/postings        (gram, shard, n, docs, paths, origins, often)
+    <root>/gen-<id>/postings        (gram, shard, n, keys, counts, low, high, paths, origins, often, often_n)
     <root>/over-<id>/...            an overlay, with its changes
 
-A shard is some megabytes of neighbouring texts. Each of its n-grams has one row with the places in the shard of the
-texts that have it, by n-gram, so building shuffles no texts and a frequent n-gram costs a row per shard, not one per
-text. A lookup scans with n-grams pushed down to the pages, meets by shard, and ends in places that the shard's head
-row (gram -1) turns into paths. `often` has the n-grams of over a quarter of a shard's texts, for a head: what is in a
-quarter of all texts is among them in some shard, so the common n-grams are counted without a shuffle of the others.
+A shard is some megabytes of neighbouring texts. Its n-grams are packed into rows by the first 16 bits of their keys
+(column gram), so building shuffles no texts, and Spark and Parquet handle a row for some thirty n-grams as four strings
+of bytes: `keys` has the other 32 bits of each key, `counts` how many texts have it less 1, `low` and `high` the bytes of
+the steps from one of these texts' places in the shard to the next; all are little-endian, and n counts the places. A
+lookup scans with gram pushed down to the pages, meets by shard, and ends in places that the shard's head row
+(gram -1) turns into paths. `often` has
+the n-grams of over an eighth of a shard's texts, `often_n` of how many, for a head: what isn't among them is in an
+eighth of those texts at most, so few n-grams can be in a quarter of all, and only those are counted.
 
 A writer adds the state that follows the one it began from, or fails with Conflict; nothing is held while it works,
 so one that dies blocks nobody. root may be any path that Spark can write to. The index only narrows down what is
@@ -37,16 +40,23 @@ from quern.plans import boolplan
 from quern.sources.shared import Folder
 
 VERSION, STALE_SECONDS = 2, 24 * 3600
+#: How rows of postings are laid out; an index of another layout is built anew by update().
+LAYOUT = 3
 #: Bytes of text to a shard. Inputs that Spark estimates below SPREAD are spread over all cores first, as a file of one row group is one task.
 SHARD, SPREAD = 8 << 20, 1 << 30
 #: Candidates up to FEW go into the scan as a list; n-grams in more than 1 / COMMON of the files (and in LEAST_COMMON at least) aren't looked up.
 FEW, COMMON, LEAST_COMMON = 2000, 4, 64
+#: Above so many different beginnings of keys all rows are read.
+BEGINNINGS = 4096
 HEAD = -1
 #: Up to MANY paths are looked for in a corpus by a broadcast set of their hashes (some 24 MB).
 MANY = 1 << 20
 #: Places that go from Python to Spark at once.
 ROWS = 1 << 18
-_POSTINGS = "gram long, shard long, n int, docs array<int>, paths array<string>, origins array<string>, often array<long>"
+_POSTINGS = "gram long, shard long, n int, keys binary, counts binary, low binary, high binary, paths array<string>, origins array<string>, often array<long>, often_n array<int>"
+_PACKED = ("keys", "counts", "low", "high")
+#: Rows to a page, as a lookup reads whole pages. Packed bytes have no use for dictionaries.
+_OPTIONS = {"parquet.writer.version": "v2", "parquet.page.row.count.limit": "1000", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("gram", *_PACKED)}
 CLAIM_SECONDS = 60
 
 
@@ -86,28 +96,74 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def _shards(batches):
-    """(file_path, content, origin) to rows of _POSTINGS: per shard a head and one row for each n-gram."""
+    """(file_path, content, origin) to rows of _POSTINGS: per shard a head and a row for each beginning of keys."""
     names = [x.split()[0] for x in _POSTINGS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
     for part in _texts(batches):
         t = pa.Table.from_batches(part).combine_chunks()
         paths, origins = t.column(0).to_pylist(), t.column(2).to_pylist()
         both = ngram.codes(t.column(1).combine_chunks())
         shard = xxhash.xxh3_64_intdigest(both.data, xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
         edge = ngram.edges(both)
-        often = ngram.parted(both[edge[:-1][np.diff(edge) * COMMON > len(paths)]])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], [None], [paths], [origins], [often]), types)], names=names)
+        often = np.flatnonzero(np.diff(edge) * 2 * COMMON > len(paths))
+        often, often_n = ngram.parted(both[edge[often]])[0], np.diff(edge)[often]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], *[[None]] * 4, [paths], [origins], [often], [often_n]), types)], names=names)
+        begin = np.searchsorted(both[edge[:-1]], np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))  # each beginning's n-grams
+        begin = np.append(np.unique(begin), len(edge) - 1)
+        begin = begin[: np.searchsorted(begin, len(edge) - 1) + 1]
         s = 0
-        while s < len(edge) - 1:  # rows of so many places at most, or of one n-gram
-            e = max(s + 1, int(np.searchsorted(edge, edge[s] + ROWS, "right")) - 1)
-            key, row = ngram.parted(both[edge[s] : edge[e]])
-            at = edge[s : e + 1] - edge[s]
-            docs = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(row.astype(np.int32)))
-            none = [pa.nulls(e - s, k) for k in types[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]]), pa.array(np.full(e - s, shard)), pa.array(np.diff(at).astype(np.int32)), docs, *none], names=names)
+        while s < len(begin) - 1:  # rows of so many places at most, or one row
+            e = max(s + 1, int(np.searchsorted(edge[begin], edge[begin[s]] + ROWS, "right")) - 1)
+            own, at = begin[s : e + 1] - begin[s], edge[begin[s] : begin[e] + 1] - edge[begin[s]]
+            words = both[edge[begin[s]] : edge[begin[e]]].astype("<u8", copy=False).view("<u2").reshape(-1, 4)  # place, key, key, its beginning
+            step = words[:, 0].copy()
+            step[1:] -= words[:-1, 0]
+            step[at[:-1]] = words[at[:-1], 0]
+            low, high = step.view(np.uint8)[::2], step.view(np.uint8)[1::2]
+            packed = [_binary(x, o) for x, o in ((words[at[:-1], 1:3], own * 4), ((np.diff(at) - 1).astype("<u2"), own * 2), (low, at[own]), (high, at[own]))]
+            none = [pa.nulls(e - s, k) for k in types[7:]]
+            yield pa.RecordBatch.from_arrays([pa.array(words[at[own[:-1]], 3].astype(np.int64)), pa.array(np.full(e - s, shard)), pa.array(np.diff(at[own]).astype(np.int32)), *packed, *none], names=names)
             s = e
 
 
+def _binary(x: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _bytes(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """What the values of a binary column without nulls hold, one after the other, and how many numbers are in each."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.dtype(kind)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // kind.itemsize
+
+
+def lists(rows: DataFrame, keys: list[int] | None = None, docs: bool = False) -> DataFrame:
+    """(gram, shard, n[, docs]): a row for each n-gram of postings, or of these keys only: how many texts of the shard have it, and their places."""
+    asked = None if keys is None else np.unique(np.array(keys, np.int64))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, per = _bytes(b.column(2), "<u4")
+            gram = np.repeat(b.column(0).to_numpy(), per) << 32 | key
+            n = _bytes(b.column(3), "<u2")[0].astype(np.int64) + 1
+            hit = np.arange(len(gram)) if asked is None else np.flatnonzero(np.isin(gram, asked))
+            out = [pa.array(gram[hit]), pa.array(np.repeat(b.column(1).to_numpy(), per)[hit]), pa.array(n[hit].astype(np.int32))]
+            if docs:
+                low, high = (_bytes(b.column(i), "u1")[0] for i in (4, 5))
+                stop = np.cumsum(n)
+                steps = (low[z - m : z] | high[z - m : z].astype(np.int32) << 8 for z, m in zip(stop[hit].tolist(), n[hit].tolist()))
+                ends = np.concatenate([[0], np.cumsum(n[hit])]).astype(np.int32)
+                places = np.concatenate([np.zeros(0, np.int32), *[np.cumsum(x, dtype=np.int32) for x in steps]])
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(places)))
+            yield pa.RecordBatch.from_arrays(out, names=["gram", "shard", "n", "docs"][: len(out)])
+
+    return rows.select("gram", "shard", *_PACKED[: 4 if docs else 2]).mapInArrow(run, "gram long, shard long, n int" + ", docs array<int>" * docs)
+
+
 def manifest(corpus: DataFrame) -> DataFrame:
     """(file_id, file_path, size, mtime, digest, skipped, origin, content): one row per path; ids are hashes of paths.
     Nulls are no files. Binary content with a NUL early on is skipped, as a scan skips it; texts of any size aren't."""
@@ -132,18 +188,24 @@ def _write(corpus: DataFrame, folder: str) -> dict:
     """Writes files and postings; how many files, and the common n-grams."""
     spark = corpus.sparkSession
     manifest(corpus).drop("content").write.parquet(f"{folder}/files")
-    manifest(_spread(corpus)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**{"parquet.enable.dictionary#gram": "false", "parquet.writer.version": "v2"}).parquet(f"{folder}/postings")
+    manifest(_spread(corpus)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**_OPTIONS).parquet(f"{folder}/postings")
     files = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).count()
     return {"folder": folder.rsplit("/", 1)[-1], "files": files, "common": _common(spark.read.parquet(f"{folder}/postings"), max(LEAST_COMMON, files // COMMON))}
 
 
 def _common(rows: DataFrame, least: int) -> list[int]:
-    """The n-grams of more than `least` texts, a quarter of all at least. A text has so many n-grams, so those in a
-    quarter of the texts of some shard are few, whatever the number of texts; only they are counted."""
-    often = [r.gram for r in rows.where(F.col("gram") == HEAD).select(F.explode("often").alias("gram")).distinct().collect()]
-    if not often:
+    """The n-grams of more than `least` texts, a quarter of all at least. Those that can be are few, as the texts of the
+    shards where they are often have some eighth of all texts' number of them, whatever the shards' sizes."""
+    heads = rows.where(F.col("gram") == HEAD)
+    files = heads.agg(F.sum("n")).first()[0] or 0
+    if files <= least:
+        return []
+    often = heads.select("n", F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy("x.often").agg(F.sum("x.often_n").alias("some"), F.sum("n").alias("of"))
+    may = [r.often for r in often.where(F.col("some") + (files - F.col("of")) / (2 * COMMON) > least).select("often").collect()]
+    if not may:
         return []
-    counts = rows.where(F.col("gram").isin(often)).groupBy("gram").agg(F.sum("n").alias("n"))
+    first = sorted({k >> 32 for k in may})
+    counts = lists(rows.where(F.col("gram").isin(first) if len(first) <= BEGINNINGS else F.col("gram") != HEAD), may).groupBy("gram").agg(F.sum("n").alias("n"))
     return sorted(r.gram for r in counts.where(F.col("n") > least).collect())
 
 
@@ -175,7 +237,7 @@ def _commit(spark: SparkSession, root: str, state: dict, before: dict | None) ->
 def build(corpus: DataFrame, root: str, commit: str | None = None) -> dict:
     spark, before = corpus.sparkSession, current(root, corpus.sparkSession)
     base = _write(corpus, f"{root}/gen-{uuid.uuid4().hex}")
-    return _commit(spark, root, {"version": VERSION, "time": time.time(), "commit": commit, "base": base, "overlay": None, "tombstones": 0}, before)
+    return _commit(spark, root, {"version": VERSION, "layout": LAYOUT, "time": time.time(), "commit": commit, "base": base, "overlay": None, "tombstones": 0}, before)
 
 
 def branch(spark: SparkSession, root: str, to: str) -> dict:
@@ -217,7 +279,7 @@ def update(corpus: DataFrame, root: str, listing: DataFrame | None = None, fetch
     read then, either), else by digests of all texts."""
     spark = corpus.sparkSession
     before = current(root, spark)
-    if before is None or before.get("version") != VERSION:
+    if before is None or (before.get("version"), before.get("layout")) != (VERSION, LAYOUT):
         return build(corpus, root, commit)
     if listing is None and {"size", "mtime"} <= set(corpus.columns):
         listing = corpus.where("content is not null").select("file_path", "size", "mtime")
@@ -271,7 +333,7 @@ def _grams(spark: SparkSession, root: str, part: dict | None) -> Column:
     """How many distinct n-grams a part has, counted where the column is asked for."""
     if not part:
         return F.lit(0).cast("long")
-    return postings(spark, root, part).where(F.col("gram") != HEAD).agg(F.count_distinct("gram")).scalar()
+    return lists(postings(spark, root, part).where(F.col("gram") != HEAD)).agg(F.count_distinct("gram")).scalar()
 
 
 def postings(spark: SparkSession, root: str, part: dict) -> DataFrame:
@@ -281,13 +343,14 @@ def postings(spark: SparkSession, root: str, part: dict) -> DataFrame:
 def ids_for(rows: DataFrame, plan: boolplan.Plan) -> DataFrame:
     """(shard, docs): the places in each shard that the plan admits: one scan of the n-grams asked for and one aggregate."""
     keys = plan.keys()
-    asked = F.col("gram").isin(keys)
-    if len(keys) > 10:  # longer lists are pushed down as a range
-        asked = F.col("gram") == keys[0]
-        for k in keys[1:]:
+    first = list(dict.fromkeys(k >> 32 for k in keys))
+    asked = F.col("gram").isin(first)
+    if len(first) > 10:  # longer lists are pushed down as a range
+        asked = F.col("gram") == first[0]
+        for k in first[1:]:
             asked |= F.col("gram") == k
     none = F.array().cast("array<int>")
-    lists = rows.where(asked).groupBy("shard").agg(*[F.coalesce(F.first(F.when(F.col("gram") == k, F.col("docs")), ignorenulls=True), none).alias(f"g{i}") for i, k in enumerate(keys)])
+    found = lists(rows.where(asked), keys, docs=True).groupBy("shard").agg(*[F.coalesce(F.first(F.when(F.col("gram") == k, F.col("docs")), ignorenulls=True), none).alias(f"g{i}") for i, k in enumerate(keys)])
 
     def column(p: boolplan.Plan):
         if p.op == "lookup":
@@ -297,13 +360,15 @@ def ids_for(rows: DataFrame, plan: boolplan.Plan) -> DataFrame:
             out = F.array_intersect(out, column(x)) if p.op == "and" else F.array_union(out, column(x))
         return out
 
-    return lists.select("shard", column(plan).alias("docs")).where(F.size("docs") > 0)
+    return found.select("shard", column(plan).alias("docs")).where(F.size("docs") > 0)
 
 
 def _state(spark: SparkSession, root: str) -> dict:
     s = current(root, spark)
     if s is None:
         raise FileNotFoundError(f"no index at {root}")
+    if s.get("layout") != LAYOUT:
+        raise ValueError(f"the index at {root} has another layout; update() builds it anew")
     if time.time() - s["time"] > STALE_SECONDS:
         warnings.warn("the index is older than a day; update it", stacklevel=3)
     return s

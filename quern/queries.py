@@ -163,8 +163,9 @@ def _pair_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, n_files): how many files the index has for each pair of bytes."""
     root = index_of(spark, sf_dir)
     keys = spark.range(65536).select((F.col("id") / 256).cast("int").alias("a"), (F.col("id") % 256).cast("int").alias("b")).collect()
-    pairs = spark.createDataFrame([(r.a, r.b, ngram.key(bytes((r.a, r.b)))) for r in keys], "a int, b int, gram long")
-    rows = index.postings(spark, root, index.current(root, spark)["base"])
+    pairs = [(r.a, r.b, ngram.key(bytes((r.a, r.b)))) for r in keys]
+    rows = index.postings(spark, root, index.current(root, spark)["base"]).where(F.col("gram") != index.HEAD)
+    pairs, rows = spark.createDataFrame(pairs, "a int, b int, gram long"), index.lists(rows, [k for *_, k in pairs])
     return rows.join(pairs, "gram").groupBy("a", "b").agg(F.sum("n").alias("n_files"))
 
 
