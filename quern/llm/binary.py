@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -134,16 +135,13 @@ class Words:
         some = order[new]
         if len(self.kept) > self.most:
             self.kept.clear()
-        kept, encode_one = self.kept, self.bpe.encode_ordinary
-        ids = []
-        for s, e in zip(begin[some].tolist(), end[some].tolist()):
-            word = whole[s:e]
-            got = kept.get(word)
-            if got is None:
-                got = kept[word] = encode_one(word.decode())
-            ids.append(got)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for w in ids for x in w), np.uint16, int(sizes.sum()))
+        kept, own = self.kept, [whole[s:e] for s, e in zip(begin[some].tolist(), end[some].tolist())]
+        ids = [*map(kept.get, own)]
+        encode_one = self.bpe._core_bpe.encode_single_piece  # a piece isn't cut again
+        for i in [i for i, got in enumerate(ids) if got is None]:
+            ids[i] = kept[own[i]] = array("H", encode_one(own[i])).tobytes()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat = np.frombuffer(b"".join(ids), np.uint16)
         base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         own = sizes[which]
         stop = np.cumsum(own)
@@ -243,14 +241,18 @@ def model(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     total, part, low = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
     edges = np.searchsorted(escape, [*begin, n])
     ids = x[escape]
+    order = np.argsort(ids, kind="stable")
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[order[1:]] != ids[order[:-1]]
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    seen = np.zeros(np.count_nonzero(new), np.int64)  # by rank: how often order 0 has seen an id in the segments before
     for j, s in enumerate(begin):
         e = begin[j + 1] if j + 1 < count else n
-        order = edges[j] + np.argsort(ids[edges[j] : edges[j + 1]], kind="stable")
-        at, own = escape[order], ids[order]
-        past = np.sort(ids[: edges[j]], kind="stable")  # what order 0 has seen in the segments before
-        left, right = np.searchsorted(past, own), np.searchsorted(past, own, side="right")
-        low[at], part[at] = own.astype(np.int64) + _STEP * left, 1 + _STEP * (right - left)
-        total[s:e] = size + _STEP * len(past)
+        own, at = rank[edges[j] : edges[j + 1]], escape[edges[j] : edges[j + 1]]
+        low[at], part[at] = ids[edges[j] : edges[j + 1]] + _STEP * (np.cumsum(seen) - seen).take(own), 1 + _STEP * seen.take(own)
+        total[s:e] = size + _STEP * edges[j]
+        seen += np.bincount(own, minlength=len(seen))
     cum = before * total
     cum[escape] += low[escape] * freq[escape]
     return cum, freq * np.where(known, total, part), total << _MIX
@@ -272,6 +274,7 @@ def code(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
     # what is shifted out, for all lanes at once: words and whether each lane wrote one
     said, wrote = np.zeros((2 * most + 8, lanes), np.uint16), np.zeros((2 * most + 8, lanes), bool)
     near, short, sums, word = np.empty(lanes, bool), np.empty(lanes, bool), np.empty(lanes, U), np.empty(lanes, U)
+    wide, fixed = np.empty((3, lanes), U), np.repeat(np.array([_TOP, _BOT, 48, 16], U)[:, None], lanes, axis=1)  # numbers become arrays on each call
     row, active = 0, lanes
     views = None
     for t in range(most):
@@ -279,9 +282,10 @@ def code(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
             active -= 1
             views = None
         if views is None:
-            views = [x[:active] for x in (low, span, near, short, sums, word)]
-            lo, sp, ne, sh, su, wo = views
-        cum, freq, total = grid[t, :, :active].astype(U)
+            views = [x[:active] for x in (low, span, near, short, sums, word, *wide, *fixed)]
+            lo, sp, ne, sh, su, wo, cum, freq, total, top, bottom, by48, by16 = views
+            step = wide[:, :active]
+        step[:] = grid[t, :, :active]
         np.floor_divide(sp, total, out=sp)
         np.multiply(cum, sp, out=cum)
         np.add(lo, cum, out=lo)
@@ -289,20 +293,20 @@ def code(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
         while True:
             np.add(lo, sp, out=su)
             np.bitwise_xor(su, lo, out=su)
-            np.less(su, _TOP, out=ne)
-            np.less(sp, _BOT, out=sh)
+            np.less(su, top, out=ne)
+            np.less(sp, bottom, out=sh)
             np.logical_or(ne, sh, out=sh)
             if not sh.any():
                 break
             np.greater(sh, ne, out=ne)
             if ne.any():
                 sp[ne] = (~lo[ne] + U(1)) & _MASK
-            np.right_shift(lo, U(48), out=wo)
+            np.right_shift(lo, by48, out=wo)
             if row == len(said):
                 said, wrote = np.concatenate([said, np.zeros_like(said)]), np.concatenate([wrote, np.zeros_like(wrote)])
             said[row, :active], wrote[row, :active] = wo, sh
             row += 1
-            np.multiply(sh, U(16), out=wo)
+            np.multiply(sh, by16, out=wo)
             np.left_shift(lo, wo, out=lo)
             np.left_shift(sp, wo, out=sp)
     done = [b""] * lanes

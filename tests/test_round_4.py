@@ -83,3 +83,38 @@ def test_small_shards_bring_no_common_ngrams(spark, tmp_path, monkeypatch):
     state = index.build(spark.createDataFrame(rows, "file_path string, content string"), root)
     assert set(state["base"]["common"]) >= grams(b"common text ") and len(asked) == 1 and asked[0] < 200 < len(grams(rows[-1][1].encode()))
     assert [r.file_path for r in index.candidates(spark, root, boolplan.build(rows[-1][1][:60])).collect()] == ["/big"]
+
+
+def test_order_0_sorts_a_block_once(monkeypatch):
+    """op9: what order 0 has seen isn't sorted and looked through again for each segment; the steps are those of a count."""
+    from quern.llm import binary
+
+    x = np.random.default_rng(2).integers(0, 50000, 16384).astype(np.uint16)
+    x[5000:6000] = x[:1000]
+    done = []
+    for name in ("sort", "argsort", "searchsorted"):
+        real = getattr(np, name)
+        monkeypatch.setattr(binary.np, name, lambda a, *rest, real=real, name=name, **kw: done.append(len(rest[0]) if name == "searchsorted" else len(a)) or real(a, *rest, **kw))
+    cum, freq, total = binary.model(x, 50257)
+    monkeypatch.undo()
+    assert sum(done) < 2 * len(x)
+    escape = np.flatnonzero(~(binary._slots(x) == x.astype(np.int32)).any(axis=0))
+    for a in binary.cuts(len(x)):
+        seen = np.bincount(x[escape[escape < a]], minlength=50257)
+        i = escape[escape >= a][0]
+        weight = int(freq[i]) // (1 + 64 * int(seen[x[i]]))
+        assert int(total[i]) >> 11 == 50257 + 64 * int(seen.sum()) and int(freq[i]) == weight * (1 + 64 * int(seen[x[i]]))
+    assert np.array_equal(binary.decode(binary.encode([x], 50257)[0], len(x), 50257), x)
+
+
+def test_single_pieces_are_those_of_the_pattern():
+    """op9: pieces go to the vocabulary without the pattern, and give its ids."""
+    from quern.llm import binary
+
+    r = np.random.default_rng(4)
+    parts = ["the", " a", "  ", "\n", "\n\n ", "'s", "'", "''ll", "'re", " 'd", "12", " 345", "!?", " --", "é", " été", "\t", "x'sy", "日本", "_", "\r\n", " '", "'ve1"]
+    texts = ["".join(parts[i] for i in r.integers(0, len(parts), r.integers(0, 30))) for _ in range(2000)]
+    w = binary.Words(binary.VOCABULARY)
+    for _ in range(2):  # the second time from what is kept
+        assert [x.tolist() for x in w.many(texts)] == [w.bpe.encode_ordinary(t) for t in texts]
+    assert all(isinstance(x, bytes) for x in w.kept.values())
