@@ -106,7 +106,7 @@ def spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: The weight of a pair of two texts' bytes, above all others; from DENSE on of the places being left, all are looked at.
-_APART, _DENSE = 255, 1 / 16
+_APART, _DENSE = 255, 1 / 8
 
 
 def _longer(w: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +141,11 @@ def _longer(w: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)], out=sums[1:])
+    sums = np.empty(len(raw) + 1, U)
+    sums[0], sums[1:] = 0, raw
+    sums[1:] += U(1)
+    sums[1:] *= up[: len(raw)]
+    np.cumsum(sums, out=sums)
     h = sums.take(start + length)
     h -= sums.take(start)
     h *= down.take(start)
@@ -167,58 +170,74 @@ def codes(column: pa.Array) -> np.ndarray:
         return np.zeros(0, U)
     offsets = offsets - low
     raw = np.frombuffer(data, np.uint8)[low : low + n]
-    kept = []
+    both, at = np.empty(n, U), 0
     for a in range(0, n, PIECE):
         z = min(a + PIECE + LONGEST - 1, n)  # an n-gram belongs to the piece that it begins in
         first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, z, "left"))
         edge = np.clip(offsets[first : last + 1], a, z) - a
         size = np.diff(edge)
-        kept.append(_codes(raw[a:z], np.repeat(np.arange(first, last, dtype=np.uint16), size), min(PIECE, n - a)))
-    if len(kept) == 1:
-        return kept[0]
-    both, at = np.empty(sum(map(len, kept)), U), 0
-    while kept:
-        x = kept.pop()
-        both[at : at + len(x)] = x
-        at += len(x)
+        for x in _codes(raw[a:z], np.repeat(np.arange(first, last, dtype=np.uint16), size), min(PIECE, n - a)):
+            if at + len(x) > len(both):  # texts with few repeats
+                both.resize(len(both) + max(n // 8, len(x)), refcheck=False)
+            both[at : at + len(x)] = x
+            at += len(x)
+    both.resize(at, refcheck=False)
     return _distinct(both)
 
 
-def _codes(raw: np.ndarray, row: np.ndarray, starts: int) -> np.ndarray:
-    """The same of a piece, for n-grams that begin in its first bytes. row: for each byte."""
+def _codes(raw: np.ndarray, row: np.ndarray, starts: int) -> list[np.ndarray]:
+    """The same of a piece, for n-grams that begin in its first bytes: of two bytes, of three and of more, each in no order.
+    row: for each byte. Short n-grams are told apart by their bytes, before they are hashed: most are repeats."""
     pairs, threes = (max(min(starts, len(raw) - k), 0) for k in (1, 2))
-    code = raw[:-1].astype(np.int64)
+    code = raw[:-1].astype(np.uint16)
     code <<= 8
     code |= raw[1:]
-    w = _NARROW.ravel().take(code)
+    w = _NARROW.ravel().take(code.astype(np.intp))
     apart = np.flatnonzero(row[:-1] != row[1:])  # the last bytes of texts
     w[apart] = _APART
     s, m = _longer(w, pairs)
-    mask = U(((1 << 48) - 1) << _BITS)
-    both = np.empty(pairs + threes + len(s), U)
-    _short(2).take(code[:pairs], out=both[:pairs], mode="clip")
-    three = both[pairs : pairs + threes]
-    np.left_shift(code[:threes].view(U), U(8), out=three)
+    low = row[0]
+    own = (row[:pairs] - low).astype(np.uint32)
+    two = own << np.uint32(16)
+    two |= code[:pairs]
+    none = apart[apart < pairs]  # what lies in two texts goes to the end
+    two[none] = ~np.uint32(0)
+    two = _distinct(two, len(none))
+    three = own[:threes].astype(np.uint32 if row[-1] - low < 256 else U)
+    three <<= 24
+    three |= code[:threes].astype(np.uint32) << np.uint32(8)
     three |= raw[2 : threes + 2]
-    three |= U(3 << 32)
-    _mixed(three)
-    both[pairs + threes :] = _hashes(raw, s, m)
-    both &= mask
-    both[:pairs] |= row[:pairs]
-    three |= row[:threes]
-    both[pairs + threes :] |= row.take(s)
-    # what lies in two texts goes to the end
-    none = np.unique(np.concatenate([apart[apart < pairs], apart[apart < threes] + pairs, apart[(apart > 0) & (apart <= threes)] + (pairs - 1)]))
-    both[none] = ~U(0)
-    return _distinct(both, len(none))
+    none = np.union1d(apart[apart < threes], apart[(apart > 0) & (apart <= threes)] - 1)
+    three[none] = ~three.dtype.type(0)
+    three = _distinct(three, len(none)).astype(U)
+    mask, low = U(((1 << 48) - 1) << _BITS), U(low)
+    short = _short(2).take((two & np.uint32(0xFFFF)).astype(np.intp)) & mask
+    short |= (two >> np.uint32(16)) + low
+    x = _mixed((three & U(0xFFFFFF)) | U(3 << 32))
+    x &= mask
+    x |= (three >> U(24)) + low
+    long = _hashes(raw, s, m)
+    long &= mask
+    long |= row.take(s)
+    return [short, x, _distinct(long)]
 
 
 def _distinct(both: np.ndarray, less: int = 0) -> np.ndarray:
-    """In order, each once; without so many of the last."""
+    """In order, each once; without so many of the last. The array is used up."""
     both.sort()
     both = both[: len(both) - less]
-    new = both[1:] != both[:-1]
-    return both if new.all() else both[np.concatenate([[True], new])]
+    at, last = 0, None
+    for a in range(0, len(both), PIECE):  # in place, as it may be all of a shard
+        x = both[a : a + PIECE]
+        new = np.empty(len(x), bool)
+        new[0] = x[0] != last
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        last = x[-1]
+        if at < a or not new.all():
+            x = x[new]
+            both[at : at + len(x)] = x
+        at += len(x)
+    return both[:at]
 
 
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -42,8 +42,8 @@ from quern.sources.shared import Folder
 VERSION, STALE_SECONDS = 2, 24 * 3600
 #: How rows of postings are laid out; an index of another layout is built anew by update().
 LAYOUT = 3
-#: Bytes of text to a shard. Inputs that Spark estimates below SPREAD are spread over all cores first, as a file of one row group is one task.
-SHARD, SPREAD = 8 << 20, 1 << 30
+#: Bytes of text to a shard, and to a task where texts lie so unevenly that they are spread first (a row group is read by one task).
+SHARD, SPREAD = 8 << 20, 64 << 20
 #: Candidates up to FEW go into the scan as a list; n-grams in more than 1 / COMMON of the files (and in LEAST_COMMON at least) aren't looked up.
 FEW, COMMON, LEAST_COMMON = 2000, 4, 64
 #: Above so many different beginnings of keys all rows are read.
@@ -177,19 +177,20 @@ def manifest(corpus: DataFrame) -> DataFrame:
     )
 
 
-def _spread(corpus: DataFrame) -> DataFrame:
-    """A small input over all cores: its texts in one file of one row group would be one task."""
-    spark = corpus.sparkSession
-    estimate = corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return corpus.repartition(spark.sparkContext.defaultParallelism) if int(str(estimate)) < SPREAD else corpus
+def _spread(corpus: DataFrame, total: int, most: int) -> DataFrame:
+    """Where one task would have more than twice its share of the bytes, as of a table in one row group, the texts are
+    spread by their paths over all cores and over tasks of about SPREAD; elsewhere they stay where they lie."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(max(cores, -(-total // SPREAD)), "file_path") if most > SHARD and most * cores > 2 * total else corpus
 
 
 def _write(corpus: DataFrame, folder: str) -> dict:
     """Writes files and postings; how many files, and the common n-grams."""
     spark = corpus.sparkSession
-    manifest(corpus).drop("content").write.parquet(f"{folder}/files")
-    manifest(_spread(corpus)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**_OPTIONS).parquet(f"{folder}/postings")
-    files = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).count()
+    manifest(corpus).drop("content").withColumn("task", F.spark_partition_id()).write.parquet(f"{folder}/files")
+    tasks = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).groupBy("task").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    files, total, most = (x or 0 for x in tasks.agg(F.sum("n"), F.sum("size"), F.max("size")).first())
+    manifest(_spread(corpus, total, most)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**_OPTIONS).parquet(f"{folder}/postings")
     return {"folder": folder.rsplit("/", 1)[-1], "files": files, "common": _common(spark.read.parquet(f"{folder}/postings"), max(LEAST_COMMON, files // COMMON))}
 
 
