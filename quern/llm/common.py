@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources.shared import checkpoint  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,16 +47,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         yield b.slice(begin)
 
 
-def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the cluster names in
-    spark.checkpoint.dir; only where that is unset (tests) is a folder of our own used."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or os.path.abspath("spark-warehouse/checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}

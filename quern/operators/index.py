@@ -27,6 +27,7 @@ import time
 import uuid
 import warnings
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from quern.functions import ngram
 from quern.operators import search as se
 from quern.plans import boolplan
-from quern.sources.shared import Folder
+from quern.sources.shared import Folder, checkpoint
 
 VERSION, STALE_SECONDS = 2, 24 * 3600
 #: How rows of postings are laid out; an index of another layout is built anew by update().
@@ -105,8 +106,9 @@ def _shards(batches):
         both = ngram.codes(t.column(1).combine_chunks())
         shard = xxhash.xxh3_64_intdigest(both.data, xxhash.xxh3_64_intdigest("\0".join(x or "" for x in paths).encode())) - (1 << 63)
         edge = ngram.edges(both)
-        often = np.flatnonzero(np.diff(edge) * 2 * COMMON > len(paths))
-        often, often_n = ngram.parted(both[edge[often]])[0], np.diff(edge)[often]
+        often_n = np.diff(edge)
+        often = np.flatnonzero(often_n > len(paths) / (2 * COMMON))
+        often, often_n = ngram.parted(both[edge[often]])[0], often_n[often]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([HEAD], [shard], [len(paths)], *[[None]] * 4, [paths], [origins], [often], [often_n]), types)], names=names)
         begin = np.searchsorted(both[edge[:-1]], np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))  # each beginning's n-grams
         begin = np.append(np.unique(begin), len(edge) - 1)
@@ -184,13 +186,26 @@ def _spread(corpus: DataFrame, total: int, most: int) -> DataFrame:
     return corpus.repartition(max(cores, -(-total // SPREAD)), "file_path") if most > SHARD and most * cores > 2 * total else corpus
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Texts go to Python in batches of a shard's size, as a worker holds a shard's n-grams beside its batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(SHARD, spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def _write(corpus: DataFrame, folder: str) -> dict:
     """Writes files and postings; how many files, and the common n-grams."""
     spark = corpus.sparkSession
     manifest(corpus).drop("content").withColumn("task", F.spark_partition_id()).write.parquet(f"{folder}/files")
     tasks = spark.read.parquet(f"{folder}/files").where(~F.col("skipped")).groupBy("task").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     files, total, most = (x or 0 for x in tasks.agg(F.sum("n"), F.sum("size"), F.max("size")).first())
-    manifest(_spread(corpus, total, most)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**_OPTIONS).parquet(f"{folder}/postings")
+    with _small_batches(spark):
+        manifest(_spread(corpus, total, most)).where(~F.col("skipped")).select("file_path", "content", "origin").mapInArrow(_shards, _POSTINGS).write.options(**_OPTIONS).parquet(f"{folder}/postings")
     return {"folder": folder.rsplit("/", 1)[-1], "files": files, "common": _common(spark.read.parquet(f"{folder}/postings"), max(LEAST_COMMON, files // COMMON))}
 
 
@@ -417,6 +432,7 @@ def search(corpus: DataFrame, root: str, pattern: str | list[str], options: se.S
     found = _candidates(spark, root, plan, state)
     if fetch:
         return se.search(fetch(found), pattern, o)
+    found = checkpoint(spark, found)
     few = found.limit(FEW + 1).agg(F.collect_list(F.struct("file_path", "origin")).alias("rows")).collect()[0].rows
     if len(few) <= FEW:
         left = corpus.where(F.col("file_path").isin([r.file_path for r in few]) if few else F.lit(False))
